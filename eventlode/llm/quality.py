@@ -31,7 +31,7 @@ RULES: list[tuple[str, str, str, int, int, str]] = [
     ("short_words", "least", "word_chars", 1, 2, "n_words"),
     ("symbols", "most", "n_symbols", 100, 25, "n_words"),
     ("stop_words", "least", "n_stop_words", 100, 4, "n_words"),
-    ("dup_lines", "most", "n_dup_lines", 100, 30, "n_lines"),
+    ("dup_lines", "most", "n_dup_lines", 100, 50, "n_lines"),
 ]
 
 

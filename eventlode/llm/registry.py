@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlode.llm import chat, mixing, quality
-from eventlode.llm.common import table
+from eventlode.llm import chat, mixing, packing, quality, substring, warc
+from eventlode.llm.common import cut, table
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file of the public tokenizers that are installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +26,35 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.page_digests(warc.read_warc(manifest, data=False))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces are cut from their lineage: counts and ranks then read them without tokenizing again."""
+    pieces = cut(packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packing.pack(pieces)
+
+
 def queries() -> dict:
-    return {"op2_chat_format": op2_chat_format, "op3_mixing": op3_mixing, "op8_quality_rules": op8_quality_rules}
+    return {
+        "op2_chat_format": op2_chat_format,
+        "op3_mixing": op3_mixing,
+        "op5_warc": op5_warc,
+        "op7_substring_dedup": op7_substring_dedup,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.oracle(), "op3_mixing": mixing.oracle(), "op8_quality_rules": quality.oracle()}
+    return {"op2_chat_format": chat.oracle(), "op3_mixing": mixing.oracle(), "op5_warc": warc.oracle(), "op8_quality_rules": quality.oracle()}
