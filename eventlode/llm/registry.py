@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlode.llm import chat, mixing, packing, quality, substring, warc
+from eventlode.llm import chat, mixing, neardup, packing, quality, substring, warc
 from eventlode.llm.common import cut, table
 
 
@@ -31,6 +31,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_warc(manifest, data=False))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict:
         "op2_chat_format": op2_chat_format,
         "op3_mixing": op3_mixing,
         "op5_warc": op5_warc,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
