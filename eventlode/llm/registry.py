@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlode.llm import chat, mixing, neardup, packing, quality, substring, warc
+from eventlode.llm import chat, langid, mixing, neardup, packing, quality, substring, warc
 from eventlode.llm.common import cut, table
 
 
@@ -49,6 +49,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_chat_format": op2_chat_format,
@@ -58,6 +62,7 @@ def queries() -> dict:
         "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
+        "op10_language_id": op10_language_id,
     }
 
 
