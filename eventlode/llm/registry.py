@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlode.llm import chat, langid, mixing, neardup, packing, quality, substring, warc
+from eventlode.llm import chat, langid, lm, mixing, neardup, packing, quality, substring, warc
 from eventlode.llm.common import cut, table
 
 
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.page_digests(warc.read_warc(manifest, data=False))
@@ -57,6 +61,7 @@ def queries() -> dict:
     return {
         "op2_chat_format": op2_chat_format,
         "op3_mixing": op3_mixing,
+        "op4_lm_scores": op4_lm_scores,
         "op5_warc": op5_warc,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_substring_dedup": op7_substring_dedup,
