@@ -110,3 +110,15 @@ def oracle(docs: str = "documents") -> str:
       FROM d JOIN l USING (doc_id) LEFT JOIN p USING (doc_id)),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed, NOT base_failed AND {tests} AS kept FROM b"""
+
+
+def kept_only(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df that are kept, with its own columns.
+
+    A filter on `kept` alone would be pushed below the projections, with every count written out
+    in full inside the others' lambdas and evaluated once per word. A draw from [0, 1) decides nothing in
+    kept + draw >= 1, but makes the column one that is not copied, so the counts are evaluated once per row.
+    """
+    judged = quality(df, text, keep=df.columns)
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return judged.select(*[F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)], (F.col("kept").cast("int") + F.rand(0) >= 1).alias("_kept")).filter("_kept").select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)])

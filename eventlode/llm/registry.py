@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlode.llm import chat, langid, lm, mixing, neardup, packing, quality, substring, warc
+from eventlode.llm import ann, chat, langid, lm, mixing, neardup, packing, quality, substring, warc
 from eventlode.llm.common import cut, table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.TEST_TEXT).alias("text"))
@@ -57,8 +61,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each over what the one before has kept."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "op1_ann_search": op1_ann_search,
         "op2_chat_format": op2_chat_format,
         "op3_mixing": op3_mixing,
         "op4_lm_scores": op4_lm_scores,
@@ -68,6 +80,7 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
         "op10_language_id": op10_language_id,
+        "pipeline": pipeline,
     }
 
 
