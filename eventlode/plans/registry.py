@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 
+def _books() -> list:
+    from eventlode.plans import search, stats
+
+    return [search.BOOK, stats.BOOK]
+
+
 def queries() -> dict:
     from eventlode.plans import coverage
 
-    return coverage.QUERIES
+    found = dict(coverage.QUERIES)
+    for b in _books():
+        found |= b.queries
+    return found
 
 
 def oracle_sql() -> dict:
     from eventlode.plans import coverage
 
-    return coverage.ORACLE
+    found = dict(coverage.ORACLE)
+    for b in _books():
+        found |= b.oracle
+    return found
