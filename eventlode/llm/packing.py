@@ -14,6 +14,7 @@ ranked first; repeated rows are documents of their own; an empty table gives an
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 
 CAPACITY, END_ID = 1024, 2
 #: Words whose ids a worker remembers; when there are more it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: A byte-level vocabulary writes bytes as characters: printable Latin-1 as itself, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, copy int"
 
 
@@ -42,6 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
         self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -65,8 +70,13 @@ class Encoder:
         bare = [w for w in new if w not in stems]
         more = {p for pair in stems.values() for p in pair if p not in self.known} - set(bare)
         bare += list(more)
-        for w, e in zip(bare, self.tokenizer.encode_batch_fast(bare, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        tokenize, packers = self.tokenizer.model.tokenize, self.packers
+        for w in bare:
+            if w.isalpha() or w[0] == " " and w[1:].isalpha():  # one run of letters is one piece: the model alone gives its ids
+                ids = [t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTE_LEVEL))]
+                self.known[w] = packers[len(ids)](*ids) if len(ids) < len(packers) else np.asarray(ids, dtype="<u4").tobytes()
+            else:
+                self.known[w] = self.whole(w)
         for w, (a, b) in stems.items():
             self.known[w] = self.known[a] + self.known[b]
 
