@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _books() -> list:
-    from eventlode.plans import search, stats
+    from eventlode.plans import extract, maintenance, search, stats
 
-    return [search.BOOK, stats.BOOK]
+    return [search.BOOK, stats.BOOK, maintenance.BOOK, extract.BOOK]
 
 
 def queries() -> dict:
