@@ -208,9 +208,10 @@ def _count(order: int):
 
 def learned_from(docs: DataFrame, per_language: int) -> DataFrame:
     """lang, text, fold: the documents of smallest id hash of each language, at most `per_language`."""
-    ids = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("id", "lang", F.xxhash64("id").alias("o"))
-    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "id"))).filter(F.col("r") <= per_language)
-    return docs.join(first.select("id", "lang", "r"), ["id", "lang"]).select("lang", "text", (F.col("r") % 4 == 0).alias("held"))
+    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull()).withColumn("o", F.struct(F.xxhash64("id").alias("h"), "id"))
+    first = own.select("lang", "o").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).filter(F.col("r") <= per_language)
+    last = first.groupBy("lang").agg(F.max("o").alias("last"))  # one row per language, as the models themselves
+    return own.join(F.broadcast(last), "lang").filter("o <= last").select("lang", "text", (F.pmod(F.col("o.h"), F.lit(4)) == 0).alias("held"))
 
 
 def _predict(shared):
