@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of a to b; the order of the arguments matters. Null with a null side."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unaccented(s: pd.Series) -> pd.Series:
     """Lower case without combining marks, spaces collapsed."""
     return pd.Series([None if x is None else " ".join("".join(c for c in normalize("NFKD", x) if not combining(c)).lower().split()) for x in s], dtype="object")
@@ -44,7 +45,7 @@ def greedy_clusters(df: DataFrame, block: list[str], id_col: str, name: str, lea
         out = []
         for i, text in zip(pdf["_id"], pdf["_name"], strict=True):
             for k, members in enumerate(found):
-                if any(2 * min(len(text), len(m)) > least * (len(text) + len(m)) and SequenceMatcher(None, text, m).ratio() > least for m in members):
+                if any(2 * min(len(text), len(m)) >= least * (len(text) + len(m)) and SequenceMatcher(None, text, m).ratio() > least for m in members):
                     members.append(text)
                     out.append(heads[k])
                     break

@@ -43,7 +43,7 @@ def fold_delta(delta: DataFrame, key: list[str], arrival: str) -> DataFrame:
     rest = [c for c in delta.columns if c not in (*key, arrival)]
     ordered = F.array_sort(F.collect_list(F.struct(arrival, *rest)))
     rows = delta.dropna(subset=key).groupBy(*key).agg(ordered.alias("_rows"))
-    return rows.select(*key, *[F.get(F.filter(F.transform("_rows", lambda r, c=c: r[c]), lambda x: x.isNotNull()), F.lit(0)).alias(c) for c in rest])
+    return rows.select(*key, *[F.get(F.filter(F.col("_rows").getField(c), lambda x: x.isNotNull()), F.lit(0)).alias(c) for c in rest])
 
 
 def insert_absent(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

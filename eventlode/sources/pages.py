@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import StringType, StructType
 
 LD_BLOCK = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
 #: Schema.org types that count as events.
 EVENT_TYPES = ["Event", "MusicEvent", "TheaterEvent", "SportsEvent", "Festival", "ComedyEvent", "DanceEvent", "ExhibitionEvent", "EducationEvent", "BusinessEvent", "ChildrensEvent", "FoodEvent", "LiteraryEvent", "ScreeningEvent", "SocialEvent", "VisualArtsEvent", "SaleEvent", "PublicationEvent"]
 
 
-@udtf(returnType="event_json string, event_type string, name string, start_date string")
+@udtf(returnType=StructType().add("event_json", "string").add("event_type", "string").add("name", "string").add("start_date", "string"))
 class FlattenLd:
     """All objects of a JSON-LD block, through lists, @graph and item lists at any depth; bad JSON gives none."""
 
@@ -96,7 +97,7 @@ def platform(text: Column, domains: dict[str, str]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescaped(s: pd.Series) -> pd.Series:
     """Entities to characters."""
     return pd.Series([None if x is None else unescape(x) for x in s], dtype="object")
