@@ -18,7 +18,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, STEP + (STEP >> 2))
+        size = max(1 << n.bit_length(), STEP)
         for name, base in (("up", BASE), ("down", INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
