@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from eventlode.llm.common import cut
 
-K, TREES, SAMPLE, LEAF, LEAVES, BLOCK, SEED = 20, 12, 40_000, 160, 160, 4_000, 7
+K, TREES, SAMPLE, LEAF, LEAVES, BLOCK, SEED = 20, 12, 40_000, 160, 220, 4_000, 7
 
 
 @dataclass
