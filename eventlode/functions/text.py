@@ -27,7 +27,7 @@ def split_param(text: str | None) -> list[str]:
 
 def split_list(c: Column) -> Column:
     """The same for a column."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def like_escaped(term: str, escape: bool = False) -> str:

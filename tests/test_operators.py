@@ -178,3 +178,8 @@ def test_stream_upserts_versions(spark, tmp_path):
     ingest.upsert_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), ["id"], "ord", ["price"]).awaitTermination()
     assert sorted(tuple(r) for r in ingest.version_of(spark, str(tmp_path / "t"), 0).select("id", "price").collect()) == [(1, 5.0), (2, 6.0)]
     assert ingest.version_of(spark, str(tmp_path / "t"), -1) is None
+
+
+def test_split_lists(spark):
+    assert values(spark, [" a, b ,,c", ""], T.split_list) == [["a", "b", "c"], []]
+    assert T.split_param(" a, ,b") == ["a", "b"]
