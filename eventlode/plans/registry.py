@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _books() -> list:
-    from eventlode.plans import extract, maintenance, search, stats, streams
+    from eventlode.plans import extract, ingest, maintenance, search, stats, streams
 
-    return [search.BOOK, stats.BOOK, maintenance.BOOK, extract.BOOK, streams.BOOK]
+    return [search.BOOK, stats.BOOK, maintenance.BOOK, extract.BOOK, ingest.BOOK, streams.BOOK]
 
 
 def queries() -> dict:
