@@ -1,7 +1,8 @@
 """Substring dedup over sliding spans of sentences.
 
 A span is a run of consecutive sentences: from each sentence on, the shortest run of at least
-`min_sentences` sentences with at least `min_words` words. Every span of every text is hashed to 128
+`min_sentences` sentences with at least `min_words` words; a sentence of LONE_WORDS words or more is a span
+by itself. Every span of every text is hashed to 128
 bits and joined globally; the first place of a span (smallest id, then position) stays, and the
 sentences that any other place covers are removed.
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_SENTENCES, MIN_WORDS = 2, 25
+MIN_SENTENCES, MIN_WORDS, LONE_WORDS = 2, 20, 40
 #: A sentence runs to its stop or line end, with the space after it; sentences together are the whole text.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|\Z)")
 #: Odd multipliers of the two running hashes, and their inverses modulo 2**64.
@@ -44,6 +45,7 @@ def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WO
     n = len(parts)
     start = np.arange(n)
     end = np.maximum(np.searchsorted(count, count[:-1] + min_words), start + min_sentences)
+    end = np.where(np.diff(count) >= max(LONE_WORDS, min_words), start + 1, end)
     start, end = start[end <= n], end[end <= n]
     if not len(start):
         return start, end, np.empty((0, 2), np.int64)
