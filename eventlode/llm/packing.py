@@ -32,6 +32,33 @@ BYTE_LEVEL = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumer
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, copy int"
 
 
+class _Words(dict):
+    """Ids of words after `before` (a space, or nothing at a line's start), found when a word is first asked for."""
+
+    def __init__(self, tokenizer, before: str):
+        super().__init__()
+        self.tokenizer, self.before = tokenizer, before
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
+        self.marks = {m: whole(tokenizer, m) for m in ".,;:!?"}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if word.isalpha():  # one run of letters is one piece: the model alone gives its ids
+            ids = [t.id for t in self.tokenizer.model.tokenize((self.before + word).encode().decode("latin-1").translate(BYTE_LEVEL))]
+        elif len(word) > 1 and word[-1] in self.marks and word[-2].isalpha():  # a mark after letters is a piece by itself
+            out = self[word] = self[word[:-1]] + self.marks[word[-1]]
+            return out
+        else:
+            ids = self.tokenizer.encode(self.before + word, add_special_tokens=False).ids
+        out = self[word] = self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.asarray(ids, dtype="<u4").tobytes()
+        return out
+
+
+def whole(tokenizer, text: str) -> bytes:
+    return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 class Encoder:
     """Ids of whole texts, as little-endian bytes.
 
@@ -45,49 +72,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
+        self.first, self.rest = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
         self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return whole(self.tokenizer, text)
 
     @staticmethod
     def plain(line: str) -> bool:
         """Only spaces, single ones between words, and none at the ends."""
         return line != "" and "  " not in line and line[0] != " " and line[-1] != " " and (line.isascii() and line.isprintable() or not any(c.isspace() and c != " " for c in set(line)))
 
-    def learn(self, words: set[str]) -> None:
-        """Remember the ids of `words`; a mark that ends a word of letters is a token run of its own."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        stems = {}
-        for w in new:
-            if len(w) > 2 and w[-1] in ".,;:!?" and w[-2].isalpha():
-                stems[w] = w[:-1], w[-1]
-        bare = [w for w in new if w not in stems]
-        more = {p for pair in stems.values() for p in pair if p not in self.known} - set(bare)
-        bare += list(more)
-        tokenize, packers = self.tokenizer.model.tokenize, self.packers
-        for w in bare:
-            if w.isalpha() or w[0] == " " and w[1:].isalpha():  # one run of letters is one piece: the model alone gives its ids
-                ids = [t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTE_LEVEL))]
-                self.known[w] = packers[len(ids)](*ids) if len(ids) < len(packers) else np.asarray(ids, dtype="<u4").tobytes()
-            else:
-                self.known[w] = self.whole(w)
-        for w, (a, b) in stems.items():
-            self.known[w] = self.known[a] + self.known[b]
+    def line(self, line: str) -> bytes:
+        start, *others = line.split(" ")
+        return self.first[start] + b"".join(map(self.rest.__getitem__, others))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[list[str]] | None] = []
-        for t in texts:
-            lines = t.split("\n")
-            cut.append([[w if i == 0 else " " + w for i, w in enumerate(line.split(" "))] for line in lines] if all(map(self.plain, lines)) else None)
-        self.learn({w for lines in cut if lines for line in lines for w in line})
-        known = self.known
-        return [self.whole(t) if lines is None else self.line_end.join([b"".join([known[w] for w in line]) for line in lines]) for t, lines in zip(texts, cut, strict=True)]
+        cut = [t.split("\n") for t in texts]
+        return [self.line_end.join(map(self.line, lines)) if all(map(self.plain, lines)) else self.whole(t) for t, lines in zip(texts, cut, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
