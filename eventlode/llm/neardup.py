@@ -12,11 +12,14 @@ labels; a pair that is similar enough stays within a band of (n1 + n2) / 9 aroun
 only matches in the band count. Classes are the connected components of the links.
 
 Equal texts are grouped first, by a 128-bit digest of their words, and one document stands for each group.
-Buckets are stars: each member is compared with the bucket's leader, the smallest id, and linked documents
-form classes. A bucket that still holds different classes is dealt out again by pairs of sketches, its own with
-each of the two before and after it, and members are compared with leaders of other classes, so documents that
-meet only through a common passage part ways. Two documents that share seven sketches or more share such a pair.
-No bucket is collected in one task.
+Buckets are stars first: each member is compared with the bucket's leader, the document that meets most others in
+all its buckets, and linked documents form classes. A bucket that still holds different classes is narrow if they
+make at most CROSS pairs a member: all its pairs of different classes are compared then. A wide one gets stars with new
+leaders, as long as they find links; a leader has met all its bucket and leaves it. Documents of buckets that stay
+wide, which a common passage brings together, are dealt out again by FINE sketches of FINE_TAKEN shingles and
+treated the same: few of those lie within the passage as a whole. Pairs whose lengths exclude the similarity are
+skipped. What is left uncompared are pairs that share wide buckets only, in both rounds. No bucket is collected in
+one task.
 
 Defined results: texts are lower-cased and split at white space; one of fewer than five words is one shingle;
 one without words (null, empty) is a class of its own; a null id has a null class; rows that repeat an id
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,10 @@ from eventlode.llm.graph import components
 from eventlode.llm.hashing import LOWER, mixed, stepped, word_hashes
 
 WORDS, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 3
+#: Sketches of the second dealing, pairs a member that are all compared, star rounds of a wide bucket.
+FINE, FINE_TAKEN, CROSS, ROUNDS = 80, 6, 256, 6
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_FINE_SEEDS = mixed(np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -67,19 +74,19 @@ def labelled(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     return h
 
 
-def sketch(kmers: np.ndarray) -> np.ndarray:
+def sketch(kmers: np.ndarray, seeds: np.ndarray = _SEEDS, taken: int = TAKEN) -> np.ndarray:
     """One hash per sketch: its smallest labelled shingles, in text order."""
     n = len(kmers)
-    take = min(TAKEN, n)
-    v = kmers[None, :] ^ _SEEDS[:, None]
+    take = min(taken, n)
+    v = kmers[None, :] ^ seeds[:, None]
     v *= np.uint64(0xBF58476D1CE4E5B9)
     v ^= v >> np.uint64(29)
-    at = np.argpartition(v, take - 1, axis=1)[:, :take] if n > take else np.broadcast_to(np.arange(n), (SKETCHES, n))
+    at = np.argpartition(v, take - 1, axis=1)[:, :take] if n > take else np.broadcast_to(np.arange(n), (len(seeds), n))
     at = np.sort(at, axis=1)
-    out = np.zeros(SKETCHES, np.uint64)
+    out = np.zeros(len(seeds), np.uint64)
     for j in range(take):
         out = out * np.uint64(0xD6E8FEB86659FD93) + kmers[at[:, j]]
-    return mixed(out + _SEEDS)
+    return mixed(out + seeds)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -129,6 +136,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, n, text in zip(*[batch.column(j).to_pylist() for j in range(3)], strict=True):
+            keys = sketch(labelled(word_hashes([_bytes(text)])[0]), _FINE_SEEDS, FINE_TAKEN)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.arange(FINE)), pa.array([i] * FINE, pa.int64()), pa.array([n] * FINE, pa.int64())], names=["k1", "k2", "id", "n"])
+
+
 def _verify(least: float):
     def shingles(text: str) -> np.ndarray:
         return labelled(word_hashes([_bytes(text)])[0])
@@ -146,12 +160,76 @@ def _verify(least: float):
     return run
 
 
-def _stars(keys: DataFrame) -> DataFrame:
-    """keys: k1, k2 (the bucket), id, c (a class). Members with their bucket's leader, its smallest id, if that is of another class."""
-    lead = keys.groupBy("k1", "k2").agg(F.min(F.struct("id", "c")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2", F.col("l.id").alias("b"), F.col("l.c").alias("cb"))
-    m = keys.alias("m")
-    on = (F.col("m.k1") == lead.k1) & (F.col("m.k2") == lead.k2) & (F.col("m.c") != lead.cb)
-    return m.join(lead, on).select("m.k1", "m.k2", F.col("m.id").alias("a"), "b")
+def _members(keys: DataFrame) -> DataFrame:
+    """keys: k1, k2 (the bucket), id, n (its shingles). Those of shared buckets, with the document's weight: all it meets in its buckets."""
+    size = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = cut(keys.join(size, ["k1", "k2"]))
+    return cut(shared.join(shared.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k1", "k2", "id", "n", "weight"))
+
+
+def _leaders(m: DataFrame) -> DataFrame:
+    best = F.max(F.struct("weight", (-F.col("id")).alias("o"), F.col("n").alias("nb"), F.col("c").alias("cb"))).alias("l")
+    return m.groupBy("k1", "k2").agg(best).select("k1", "k2", (-F.col("l.o")).alias("b"), "l.nb", "l.cb")
+
+
+def _fits(least: float) -> Column:
+    """False where the lengths n and nb alone exclude the similarity."""
+    return F.least("n", "nb") >= F.lit(least) * F.greatest("n", "nb") - F.lit(1e-6)
+
+
+def _stars(m: DataFrame, lead: DataFrame, least: float) -> DataFrame:
+    """a, b: members with their bucket's leader, if that is of another class."""
+    return m.join(lead, ["k1", "k2"]).filter((F.col("c") != F.col("cb")) & _fits(least)).select(F.col("id").alias("a"), "b")
+
+
+def _all_pairs(m: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of different classes that share a bucket."""
+    other = m.select("k1", "k2", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    return m.join(other, ["k1", "k2"]).filter((F.col("c") > F.col("cb")) & _fits(least)).select(F.col("id").alias("a"), "b")
+
+
+def _of_class(m: DataFrame, classes: DataFrame | None) -> DataFrame:
+    if classes is None:
+        return m.withColumn("c", F.col("id"))
+    return m.join(classes, "id", "left").withColumn("c", F.coalesce("class_id", "id")).drop("class_id")
+
+
+def _mixed(m: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets of several classes, with their class, and whether the bucket is wide."""
+    own = cut(_of_class(m, classes))
+    kinds = own.groupBy("k1", "k2", "c").agg(F.count(F.lit(1)).alias("q")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("q").alias("size"), F.sum(F.col("q") * F.col("q")).alias("within"))
+    wide = (F.col("size") * F.col("size") - F.col("within")) / 2 > F.lit(CROSS) * F.col("size")
+    return cut(own.join(kinds.filter("kinds > 1").select("k1", "k2", wide.alias("wide")), ["k1", "k2"]))
+
+
+def _linked(m: DataFrame, links: DataFrame | None, done: DataFrame | None, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """m: members of buckets. Returns the links (a, b), all compared pairs and the members of buckets that stay wide."""
+    classes = components(links) if links is not None else None
+    live = _of_class(m, classes)
+    first = done is None  # of single documents all buckets are mixed, and all get a star
+    if not first:
+        live = _mixed(m, classes)
+    for turn in count():
+        wide = live if first else live.filter("wide") if turn < ROUNDS else live.limit(0)
+        lead = cut(_leaders(wide))
+        pairs = _stars(wide, lead, least)
+        if not first:
+            pairs = pairs.union(_all_pairs(live.filter("not wide"), least))
+        pairs = pairs.distinct()
+        if done is not None:
+            pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(done, ["x", "y"], "left_anti").select("a", "b")
+        pairs = cut(pairs)
+        found = _verified(pairs, _texts(texts, pairs), least)
+        new = found.filter("linked").select("a", "b")
+        seen = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        done = seen if done is None else done.union(seen)
+        links = new if links is None else links.union(new)
+        open_ = live if first else live.filter("wide")
+        rest = open_.join(lead.select("k1", "k2", F.col("b").alias("id")), ["k1", "k2", "id"], "left_anti").select("k1", "k2", "id", "n", "weight")
+        live = _mixed(rest, components(links))
+        if live.filter("not wide").isEmpty() and (turn >= ROUNDS or not first and new.isEmpty() or live.isEmpty()):
+            return links, done, live
+        first = False
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -172,26 +250,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     full = rows.filter("n_words > 0 and id is not null")
     groups = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     member = cut(full.select("id", "d1", "d2").join(groups, ["d1", "d2"]).select("id", "rep"))
-    reps = cut(full.select("id", "keys").join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-    keys = reps.select("id", F.posexplode("keys").alias("j", "k1")).select("k1", F.col("j").cast("long").alias("k2"), "id").distinct()
-    stars = cut(_stars(keys.withColumn("c", F.col("id"))))
+    reps = full.join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1)).alias("n"), "keys")
+    keys = reps.select("id", "n", F.posexplode("keys").alias("j", "k1")).select("k1", F.col("j").cast("long").alias("k2"), "id", "n").distinct()
     same = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    first = _verified(stars.select("a", "b").distinct(), _texts(docs, stars), least)
-    links = first.filter("linked").select("a", "b")
-    classes = components(links)
-    # buckets in which documents of different classes were not linked, dealt out again by pairs of sketches
-    class_of = lambda c: classes.select(F.col("id").alias(c), F.col("class_id").alias("class_id" if c == "id" else f"class_{c}"))
-    with_classes = lambda p: p.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select(*p.columns)
-    apart = with_classes(first.filter("not linked").select("a", "b"))
-    mixed_ = stars.join(apart, ["a", "b"], "left_semi").select("k1", "k2").distinct()
-    again = keys.join(mixed_, ["k1", "k2"]).join(reps, "id")
-    again = again.join(class_of("id"), "id", "left").withColumn("c", F.coalesce("class_id", "id"))
-    near = F.explode(F.array(*[F.pmod(F.col("k2") + d, F.lit(SKETCHES)) for d in (-2, -1, 1, 2)]))
-    paired = again.select("id", "c", "k1", "k2", "keys", near.alias("j")).withColumn("o", F.get("keys", F.col("j").cast("int")))
-    both = paired.select(F.xxhash64(F.least("k1", "o"), F.greatest("k1", "o")).alias("k1"), (F.least("k2", "j") * SKETCHES + F.greatest("k2", "j")).alias("k2"), "id", "c").distinct()
-    rest = cut(_stars(both).select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    second = _verified(rest, _texts(docs, rest), least)
-    links = links.union(second.filter("linked").select("a", "b")).union(same)
-    classes = components(links)
+    links, done, wide = _linked(_members(keys), None, None, docs, least)
+    if not wide.isEmpty():
+        again = docs.dropDuplicates(["id"]).join(wide.select("id", "n").distinct(), "id").select("id", "n", "text")
+        fine = again.mapInArrow(_fine, "k1 long, k2 long, id long, n long")
+        links, _, _ = _linked(_members(fine), links, done, docs, least)
+    classes = components(links.union(same))
     ids = rows.select("id").distinct()
     return ids.join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
