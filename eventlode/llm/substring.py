@@ -1,8 +1,8 @@
 """Substring dedup over sliding spans of sentences.
 
-A span is a run of consecutive sentences: from each sentence on, the shortest run of at least
-`min_sentences` sentences with at least `min_words` words; a sentence of LONE_WORDS words or more is a span
-by itself. Every span of every text is hashed to 128
+A span is a run of consecutive sentences: from each sentence on, and up to each sentence, the shortest run of at
+least `min_sentences` sentences with at least `min_words` words; a sentence of LONE_WORDS words or more is a span
+by itself too. So every sentence inside a repeated run lies in a repeated span. Every span of every text is hashed to 128
 bits and joined globally; the first place of a span (smallest id, then position) stays, and the
 sentences that any other place covers are removed.
 
@@ -43,10 +43,12 @@ def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WO
     parts = [s.split() for s in sentences(text)]
     count = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
     n = len(parts)
-    start = np.arange(n)
-    end = np.maximum(np.searchsorted(count, count[:-1] + min_words), start + min_sentences)
-    end = np.where(np.diff(count) >= max(LONE_WORDS, min_words), start + 1, end)
-    start, end = start[end <= n], end[end <= n]
+    at = np.arange(n)
+    end = np.maximum(np.searchsorted(count, count[:-1] + min_words), at + min_sentences)
+    start = np.minimum(np.searchsorted(count, count[1:] - min_words, side="right") - 1, at + 1 - min_sentences)
+    lone = at[np.diff(count) >= max(LONE_WORDS, min_words)]
+    start, end = np.concatenate([at[end <= n], start[start >= 0], lone]), np.concatenate([end[end <= n], at[start >= 0] + 1, lone + 1])
+    start, end = np.divmod(np.unique(start * (n + 1) + end), n + 1)
     if not len(start):
         return start, end, np.empty((0, 2), np.int64)
     own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(p).lower()) for p in parts), dtype="<u8").reshape(n, 2)
