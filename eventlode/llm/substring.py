@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_SENTENCES, MIN_WORDS, LONE_WORDS = 2, 20, 40
+MIN_SENTENCES, MIN_WORDS, LONE_WORDS = 2, 20, 20
 #: A sentence runs to its stop or line end, with the space after it; sentences together are the whole text.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|\Z)")
 #: Odd multipliers of the two running hashes, and their inverses modulo 2**64.

@@ -34,3 +34,12 @@ def test_all_of_a_passage_goes_and_all_runs_agree(docs, lengths):
     texts = [(i, sentence(7) + passage + sentence(6)) for i in range(3)]
     got = {r.doc_id: r.kept_text for r in substring.substring_dedup(docs(texts)).collect()}
     assert got == _kept(texts) and all(len(got[i].split()) == 13 for i in (1, 2))
+
+
+def test_random_runs_agree(docs):
+    rng = random.Random(5)
+    sentence = lambda: " ".join(f"w{rng.randint(0, 900)}" for _ in range(rng.choice([1, 3, 5, 9, 14, 22, 45]))) + rng.choice([". ", "! ", "\n"])
+    pool = [sentence() for _ in range(40)]
+    runs = [pool[i : i + 6] for i in range(0, 36, 6)]
+    texts = [(i, "".join("".join(rng.choice(runs)[rng.randint(0, 2) :]) if rng.random() < 0.2 else sentence() for _ in range(rng.randint(1, 10)))) for i in range(80)]
+    assert {r.doc_id: r.kept_text for r in substring.substring_dedup(docs(texts)).collect()} == _kept(texts)
