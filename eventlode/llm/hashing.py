@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
@@ -10,8 +12,9 @@ INVERSE = pow(BASE, -1, 1 << 64)
 SEPARATES = np.zeros(256, bool)
 SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Bytes hashed in one step; longer words and texts are taken whole.
+#: Bytes hashed in one step; a longer text is hashed in pieces that end between words, and only a longer word is taken whole.
 STEP = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -38,6 +41,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text. Equal words have equal hashes."""
+    if sum(map(len, texts)) > 4 * STEP:
+        parts = [(i, p) for i, t in enumerate(texts) for p in _pieces(t)]
+        done = [(i, *_word_hashes([p])) for i, p in parts]
+        counts = np.zeros(len(texts), np.int64)
+        np.add.at(counts, [i for i, _, _ in done], [int(n[0]) for _, _, n in done])
+        return np.concatenate([h for _, h, _ in done]), counts
+    return _word_hashes(texts)
+
+
+def _pieces(text: bytes):
+    at = 0
+    while len(text) - at > STEP and (gap := _GAP.search(text, at + STEP)):
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:]
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     gap = SEPARATES[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))

@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
-A model per language is fitted on a bounded sample: at most `per_language` documents of each
-language, those of smallest id hash, whole. Letters are lower-cased, anything else is one space. The
+A model per language is fitted on a bounded sample: at most `per_language` documents of each of the
+`most_languages` commonest languages, those of smallest id hash, whole. Letters are lower-cased, anything else is one space. The
 n-grams that any language has seen stand in one sorted array of hashes per order, with the
 interpolated log probability under every language beside them; the contexts stand in another, with
 their back-off weights. A text is scored under all languages at once: its longest known n-gram ends
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlode.llm.common import crc_mod, cut
+from eventlode.llm.common import crc_mod, cut, sliced
 
-ORDER, PER_LANGUAGE, REJECT = 4, 400, 0.005
+ORDER, PER_LANGUAGE, MOST_LANGUAGES, HOLD_FROM, REJECT = 4, 400, 400, 20, 0.005
 STEP = 1 << 19
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
@@ -85,25 +85,38 @@ class Model:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text under each language, and its number of characters."""
         sums, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        at, size, held = 0, 0, []
+        size, held = 0, []
         for i, t in enumerate(texts):
-            for lo in range(0, len(t), STEP):  # a long text comes in pieces, each with the characters before it as context
-                part = t[max(0, lo - self.order) : lo + STEP] if lo else t[:STEP]
-                held.append((i, part.replace("\0", " "), min(lo, self.order)))
-                size += len(part)
-                if size >= STEP:
-                    self._add(held, sums, count)
-                    held, size = [], 0
+            if len(t) > STEP:
+                self._add_long(i, t, sums, count)
+                continue
+            held.append((i, t.replace("\0", " ")))
+            size += len(t)
+            if size >= STEP:
+                self._add(held, sums, count)
+                held, size = [], 0
         if held:
             self._add(held, sums, count)
         return -sums / np.maximum(count, 1)[:, None], count
 
-    def _add(self, held: list[tuple[int, str, int]], sums: np.ndarray, count: np.ndarray) -> None:
-        chars, _ = characters([t for _, t, _ in held], self.order)
+    def _add_long(self, i: int, text: str, sums: np.ndarray, count: np.ndarray) -> None:
+        """A long text in steps; each knows the characters before it and counts only its own."""
+        before = np.zeros(self.order - 1, np.uint64)
+        for lo in range(0, len(text), STEP):
+            own = characters([text[lo : lo + STEP].replace("\0", " ")], self.order)[0][self.order - 1 :]
+            if before[-1] == _SPACE and len(own) and own[0] == _SPACE:
+                own = own[1:]
+            chars = np.concatenate([before, own])
+            sums[i] += self.score(chars, np.arange(self.order - 1, len(chars))).sum(0, dtype=np.float64)
+            count[i] += len(own)
+            before = chars[len(chars) - self.order + 1 :]
+
+    def _add(self, held: list[tuple[int, str]], sums: np.ndarray, count: np.ndarray) -> None:
+        chars, _ = characters([t for _, t in held], self.order)
         real = chars > 0
         # which piece a character is of: pieces are apart by zeros
         piece = np.cumsum(np.concatenate([[False], ~real[:-1]]) & real & True) - 1 if len(chars) else np.empty(0, np.int64)
-        owners = [i for i, t, _ in held if t]
+        owners = [i for i, t in held if t]
         take = np.flatnonzero(real)
         logs = self.score(chars, take)
         doc = np.asarray(owners)[piece[take]]
@@ -206,18 +219,24 @@ def _count(order: int):
     return run
 
 
-def learned_from(docs: DataFrame, per_language: int) -> DataFrame:
-    """lang, text, fold: the documents of smallest id hash of each language, at most `per_language`."""
-    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull()).withColumn("o", F.struct(F.xxhash64("id").alias("h"), "id"))
-    first = own.select("lang", "o").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).filter(F.col("r") <= per_language)
-    last = first.groupBy("lang").agg(F.max("o").alias("last"))  # one row per language, as the models themselves
-    return own.join(F.broadcast(last), "lang").filter("o <= last").select("lang", "text", (F.pmod(F.col("o.h"), F.lit(4)) == 0).alias("held"))
+def learned_from(docs: DataFrame, per_language: int, most_languages: int = MOST_LANGUAGES) -> DataFrame:
+    """lang, text, held: the documents of smallest id hash of each language, at most `per_language`, of the commonest languages.
+
+    Each language is thinned out by its own count before anything is shuffled, to half as many again as are wanted. Every
+    fourth document of a language is held out of the fit, and none of one with fewer than HOLD_FROM.
+    """
+    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull()).withColumn("h", F.xxhash64("id")).withColumn("u", F.shiftrightunsigned("h", 32))
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    limit = F.lit(float(1 << 32)) * F.lit(1.5 * (per_language + 50)) / F.col("n")
+    thin = own.join(F.broadcast(counts), "lang").filter(F.col("u") < limit)
+    ranked = thin.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "h", "id", "text"))).filter(F.col("r") <= per_language)
+    return ranked.select("lang", "text", ((F.col("r") % 4 == 0) & (F.col("n") >= HOLD_FROM)).alias("held"))
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             n = len(texts)
             pred, score, cross, rejected = ["und"] * n, np.zeros(n), np.full(n, np.nan), np.zeros(n, bool)
@@ -238,7 +257,7 @@ def _predict(shared):
 
 def _entropies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             h, n = shared.value.entropies(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(h.astype(float)), pa.list_(pa.float64())), pa.array(n)], names=["lang", "h", "n"])
 

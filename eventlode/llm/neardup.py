@@ -12,14 +12,14 @@ labels; a pair that is similar enough stays within a band of (n1 + n2) / 9 aroun
 only matches in the band count. Classes are the connected components of the links.
 
 Equal texts are grouped first, by a 128-bit digest of their words, and one document stands for each group.
-Buckets are stars first: each member is compared with the bucket's leader, the document that meets most others in
-all its buckets, and linked documents form classes. A bucket that still holds different classes is narrow if they
-make at most CROSS pairs a member: all its pairs of different classes are compared then. A wide one gets stars with new
-leaders, as long as they find links; a leader has met all its bucket and leaves it. Documents of buckets that stay
-wide, which a common passage brings together, are dealt out again by FINE sketches of FINE_TAKEN shingles and
-treated the same: few of those lie within the passage as a whole. Pairs whose lengths exclude the similarity are
-skipped. What is left uncompared are pairs that share wide buckets only, in both rounds. No bucket is collected in
-one task.
+Buckets are stars: each member is compared with the bucket's leader, first the document that meets most others in all
+its buckets, then, in buckets that still hold several classes of linked documents, others drawn by hash, as long as
+these find links and for ROUNDS rounds at most. What no leader has settled is done exactly: the documents of buckets
+that hold several classes are joined by the rarest of their shingles. Two texts of similarity s share one of
+the first n - s * n + 1 shingles in any common order, and of the shorter text n - 2 * s / (1 + s) * n + 1 are enough; the
+order is by the counts of shingles in BINS bins, so a passage that many documents share comes last and brings nobody
+together who does not consist of it. All pairs of different classes that meet there, and whose lengths allow the similarity,
+are compared. No bucket is collected in one task, and pairs within a class are not made.
 
 Defined results: texts are lower-cased and split at white space; one of fewer than five words is one shingle;
 one without words (null, empty) is a class of its own; a null id has a null class; rows that repeat an id
@@ -30,22 +30,22 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlode.llm.common import cut
+from eventlode.llm.common import cut, sliced, stored
 from eventlode.llm.graph import components
 from eventlode.llm.hashing import LOWER, mixed, stepped, word_hashes
 
 WORDS, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 3
-#: Sketches of the second dealing, pairs a member that are all compared, star rounds of a wide bucket.
-FINE, FINE_TAKEN, CROSS, ROUNDS = 80, 6, 256, 6
+#: Star rounds after the first, and bins of shingle counts.
+ROUNDS, BINS = 3, 1 << 18
+#: Shingles from which on a text's sketches are taken one by one.
+MANY = 1 << 16
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-_FINE_SEEDS = mixed(np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -77,6 +77,8 @@ def labelled(words: np.ndarray, k: int = WORDS) -> np.ndarray:
 def sketch(kmers: np.ndarray, seeds: np.ndarray = _SEEDS, taken: int = TAKEN) -> np.ndarray:
     """One hash per sketch: its smallest labelled shingles, in text order."""
     n = len(kmers)
+    if n > MANY and len(seeds) > 1:  # a long text goes seed by seed, so that memory is a small multiple of it
+        return np.concatenate([sketch(kmers, seeds[i : i + 1], taken) for i in range(len(seeds))])
     take = min(taken, n)
     v = kmers[None, :] ^ seeds[:, None]
     v *= np.uint64(0xBF58476D1CE4E5B9)
@@ -116,7 +118,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts = batch.column(0), batch.column(1)
         raw = [_bytes(t) for t in texts.to_pylist()]
         for lo, hi in stepped(raw):
@@ -136,11 +138,30 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, n, text in zip(*[batch.column(j).to_pylist() for j in range(3)], strict=True):
-            keys = sketch(labelled(word_hashes([_bytes(text)])[0]), _FINE_SEEDS, FINE_TAKEN)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.arange(FINE)), pa.array([i] * FINE, pa.int64()), pa.array([n] * FINE, pa.int64())], names=["k1", "k2", "id", "n"])
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BINS, np.int64)
+    for batch in sliced(batches):
+        for text in batch.column(0):
+            counts += np.bincount((labelled(word_hashes([_bytes(text.as_py())])[0]) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bin", "n"])
+
+
+def prefixes(n: int, least: float) -> tuple[int, int]:
+    """How many of n ordered shingles a text of no more shingles, and one of no fewer, must share one of."""
+    return n - int(np.ceil(least * n - 1e-9)) + 1, n - int(np.ceil(2 * least / (1 + least) * n - 1e-9)) + 1
+
+
+def _rarest(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for i, n, c, text in zip(*[batch.column(j).to_pylist() for j in range(3)], batch.column(3), strict=True):
+                h = labelled(word_hashes([_bytes(text.as_py())])[0])
+                h = h[np.lexsort((h, shared.value[(h % np.uint64(BINS)).astype(np.int64)]))]
+                longer, shorter = prefixes(len(h), least)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:longer].view(np.int64)), pa.array([c] * longer, pa.int64()), pa.array([i] * longer, pa.int64()), pa.array([n] * longer, pa.int64()), pa.array(np.arange(longer) < shorter)], names=["k", "c", "id", "n", "shorter"])
+
+    return run
 
 
 def _verify(least: float):
@@ -149,11 +170,12 @@ def _verify(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lead = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
-            for a, b, ta, tb in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for b, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if b != last:
-                    last, lead = b, shingles(tb)
+                    last, lead = b, shingles(tb.as_py())
+                ta = ta.as_py()
                 out.append(similarity(shingles(ta), lead, least) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
 
@@ -167,8 +189,10 @@ def _members(keys: DataFrame) -> DataFrame:
     return cut(shared.join(shared.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k1", "k2", "id", "n", "weight"))
 
 
-def _leaders(m: DataFrame) -> DataFrame:
-    best = F.max(F.struct("weight", (-F.col("id")).alias("o"), F.col("n").alias("nb"), F.col("c").alias("cb"))).alias("l")
+def _leaders(m: DataFrame, turn: int) -> DataFrame:
+    """Per bucket the document that meets most others; in later turns one drawn by the bucket's own hash."""
+    rank = F.col("weight") if turn == 0 else F.xxhash64("k1", "k2", "id", F.lit(turn))
+    best = F.max(F.struct(rank.alias("r"), (-F.col("id")).alias("o"), F.col("n").alias("nb"), F.col("c").alias("cb"))).alias("l")
     return m.groupBy("k1", "k2").agg(best).select("k1", "k2", (-F.col("l.o")).alias("b"), "l.nb", "l.cb")
 
 
@@ -179,57 +203,62 @@ def _fits(least: float) -> Column:
 
 def _stars(m: DataFrame, lead: DataFrame, least: float) -> DataFrame:
     """a, b: members with their bucket's leader, if that is of another class."""
-    return m.join(lead, ["k1", "k2"]).filter((F.col("c") != F.col("cb")) & _fits(least)).select(F.col("id").alias("a"), "b")
-
-
-def _all_pairs(m: DataFrame, least: float) -> DataFrame:
-    """a, b: all pairs of different classes that share a bucket."""
-    other = m.select("k1", "k2", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    return m.join(other, ["k1", "k2"]).filter((F.col("c") > F.col("cb")) & _fits(least)).select(F.col("id").alias("a"), "b")
+    return m.join(lead, ["k1", "k2"]).filter((F.col("c") != F.col("cb")) & _fits(least)).select(F.col("id").alias("a"), "b").distinct()
 
 
-def _of_class(m: DataFrame, classes: DataFrame | None) -> DataFrame:
-    if classes is None:
-        return m.withColumn("c", F.col("id"))
+def _of_class(m: DataFrame, classes: DataFrame) -> DataFrame:
     return m.join(classes, "id", "left").withColumn("c", F.coalesce("class_id", "id")).drop("class_id")
 
 
 def _mixed(m: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets of several classes, with their class, and whether the bucket is wide."""
-    own = cut(_of_class(m, classes))
-    kinds = own.groupBy("k1", "k2", "c").agg(F.count(F.lit(1)).alias("q")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("q").alias("size"), F.sum(F.col("q") * F.col("q")).alias("within"))
-    wide = (F.col("size") * F.col("size") - F.col("within")) / 2 > F.lit(CROSS) * F.col("size")
-    return cut(own.join(kinds.filter("kinds > 1").select("k1", "k2", wide.alias("wide")), ["k1", "k2"]))
-
-
-def _linked(m: DataFrame, links: DataFrame | None, done: DataFrame | None, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """m: members of buckets. Returns the links (a, b), all compared pairs and the members of buckets that stay wide."""
-    classes = components(links) if links is not None else None
-    live = _of_class(m, classes)
-    first = done is None  # of single documents all buckets are mixed, and all get a star
-    if not first:
-        live = _mixed(m, classes)
-    for turn in count():
-        wide = live if first else live.filter("wide") if turn < ROUNDS else live.limit(0)
-        lead = cut(_leaders(wide))
-        pairs = _stars(wide, lead, least)
-        if not first:
-            pairs = pairs.union(_all_pairs(live.filter("not wide"), least))
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(done, ["x", "y"], "left_anti").select("a", "b")
-        pairs = cut(pairs)
-        found = _verified(pairs, _texts(texts, pairs), least)
+    """Members of buckets of several classes, with their class."""
+    own = cut(_of_class(m.drop("c"), classes))
+    several = own.groupBy("k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k1", "k2")
+    return cut(own.join(several, ["k1", "k2"]))
+
+
+def _rare_pairs(docs: DataFrame, rest: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs of different classes among rest (id, n, c) that may be similar enough, by their rarest shingles."""
+    texts = stored(docs.join(rest, "id").select("id", "n", "c", "text"), "mixed")
+    counts = texts.select("text").mapInArrow(_bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    total = np.zeros(BINS, np.int64)
+    for r in counts.collect():  # BINS rows at most
+        total[r["bin"]] = r["n"]
+    rare = stored(texts.mapInArrow(_rarest(docs.sparkSession.sparkContext.broadcast(total), least), "k long, c long, id long, n long, shorter boolean"), "rare")
+    groups = rare.groupBy("k", "c").agg(F.max("shorter").alias("shorter"))
+    several = groups.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k")
+    groups = cut(groups.join(several, "k"))
+    kinds = groups.filter("shorter").select("k", "c").join(groups.select("k", F.col("c").alias("cb")), "k").filter("c <> cb")
+    one = rare.filter("shorter").select("k", "c", F.col("id").alias("a"), "n")
+    other = rare.select("k", F.col("c").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    met = kinds.join(one, ["k", "c"]).join(other, ["k", "cb"]).filter("n < nb or n = nb and a < b").filter(_fits(least))
+    return met.select("a", "b").distinct()
+
+
+def _new(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+    """The pairs that are not among those done, in either order."""
+    if done is None:
+        return cut(pairs)
+    return cut(pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(done, ["x", "y"], "left_anti").select("a", "b"))
+
+
+def _links(keys: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """a, b: links whose components are those of all links. keys: k1, k2, id, n of documents that stand for their copies."""
+    live, links, done = _members(keys).withColumn("c", F.col("id")), None, None
+    for turn in range(ROUNDS + 1):
+        pairs = _new(_stars(live, _leaders(live, turn), least), done)
+        found = _verified(pairs, _texts(docs, pairs), least)
         new = found.filter("linked").select("a", "b")
         seen = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        done = seen if done is None else done.union(seen)
-        links = new if links is None else links.union(new)
-        open_ = live if first else live.filter("wide")
-        rest = open_.join(lead.select("k1", "k2", F.col("b").alias("id")), ["k1", "k2", "id"], "left_anti").select("k1", "k2", "id", "n", "weight")
-        live = _mixed(rest, components(links))
-        if live.filter("not wide").isEmpty() and (turn >= ROUNDS or not first and new.isEmpty() or live.isEmpty()):
-            return links, done, live
-        first = False
+        links, done = new if links is None else links.union(new), seen if done is None else done.union(seen)
+        live = _mixed(live, components(links))
+        if new.isEmpty() or live.isEmpty():
+            break
+    if live.isEmpty():
+        return links
+    rest = live.select("id", "n", "c").distinct()
+    pairs = _new(_rare_pairs(docs.dropDuplicates(["id"]), rest, least), done)
+    return links.union(_verified(pairs, _texts(docs, pairs), least).filter("linked").select("a", "b"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -253,11 +282,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", l
     reps = full.join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1)).alias("n"), "keys")
     keys = reps.select("id", "n", F.posexplode("keys").alias("j", "k1")).select("k1", F.col("j").cast("long").alias("k2"), "id", "n").distinct()
     same = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links, done, wide = _linked(_members(keys), None, None, docs, least)
-    if not wide.isEmpty():
-        again = docs.dropDuplicates(["id"]).join(wide.select("id", "n").distinct(), "id").select("id", "n", "text")
-        fine = again.mapInArrow(_fine, "k1 long, k2 long, id long, n long")
-        links, _, _ = _linked(_members(fine), links, done, docs, least)
+    links = _links(keys, docs, least)
     classes = components(links.union(same))
     ids = rows.select("id").distinct()
     return ids.join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))

@@ -20,16 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlode.llm.common import sliced
+
 CAPACITY, END_ID = 1024, 2
-#: Words whose ids a worker remembers; when there are more it starts anew.
-REMEMBERED = 700_000
+#: Words whose ids a worker remembers after a space, and as many at line starts; when there are more it starts anew. Some 60 MB in all.
+REMEMBERED = 150_000
 #: A byte-level vocabulary writes bytes as characters: printable Latin-1 as itself, the others from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Low bits of a place; the high ones, those of its file, are the bucket that ranks are counted by.
+PLACE_BITS = 32
 BYTE_LEVEL = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, copy int"
+PIECES = "doc_id long, place long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Words(dict):
@@ -71,6 +75,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = cuts_at_spaces(self.tokenizer)
         self.tokenizer.encode_special_tokens = True
         self.first, self.rest = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
         self.line_end = self.whole("\n")
@@ -88,10 +93,23 @@ class Encoder:
         return self.first[start] + b"".join(map(self.rest.__getitem__, others))
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return list(map(self.whole, texts))
         cut = [t.split("\n") for t in texts]
         return [self.line_end.join(map(self.line, lines)) if all(map(self.plain, lines)) else self.whole(t) for t, lines in zip(texts, cut, strict=True)]
 
 
+def cuts_at_spaces(tokenizer) -> bool:
+    """Whether the vocabulary is of the kind whose texts may be looked up word by word: byte level, without a normalizer or a
+    space put before the text, with the pattern that takes one space together with the letters, digits or marks after it."""
+    import json
+
+    told = json.loads(tokenizer.to_str())
+    before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    own = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return bool(own and not told.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("ignore_merges"))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -109,27 +127,28 @@ def cuts(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
         yield at, capacity
 
 
-def _pieces(path: str, capacity: int, end_id: int, step: int = 256):
+def _pieces(path: str, capacity: int, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                for doc, ids in zip(part.column(0).to_pylist(), own.batch([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    rows += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), 0) for k, (s, n) in enumerate(cuts(len(ids) // 4, capacity))]
+            for doc, place, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), own.batch([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids += end
+                rows += [(doc, place, k, s, n, zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cuts(len(ids) // 4, capacity))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "copy"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "place", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
-def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES).drop("copy")
+def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, place: Column | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces, and `place` (long), if given."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.lit(None) if place is None else place).cast("long").alias("place"))
+    out = rows.mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES)
+    return out.drop("place") if place is None else out
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
@@ -174,13 +193,18 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     return chosen
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "piece"), place: str | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows that have length (1 to capacity) and the columns `key`.
 
-    Equal lengths are interchangeable; they rank by a digest of the key.
+    Equal lengths are interchangeable: they rank by a digest of the key, or by the column `place` (long), so that
+    what comes earlier there is in the earlier of the sequences that are alike.
     """
     spark = pieces.sparkSession
-    ranked = pieces.withColumn("_d", F.md5(F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))).withColumn("_b", F.substring("_d", 1, 3))
+    digest = F.md5(F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
+    if place is None:
+        ranked = pieces.withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, 3))
+    else:
+        ranked = pieces.withColumn("_d", F.col(place)).withColumn("_b", F.shiftright(place, PLACE_BITS))
     cells = ranked.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("n"))
     before = cells.withColumn("_o", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("length", "_b", "_o")
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
@@ -198,14 +222,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("d
     order = Window.partitionBy("length", "_b").orderBy("_d", *key)
     ranks = ranked.withColumn("_r", F.row_number().over(order) - 1).join(before, ["length", "_b"]).withColumn("_r", F.col("_r") + F.col("_o")).drop("_o", "_d", "_b")
     placed = ranks.join(F.broadcast(table), "length")  # one row per length, and in all some runs per length: bounded by capacity
-    return _place(placed)
+    return _place(placed, len(rows).bit_length() + 1)
 
 
-def _place(placed: DataFrame) -> DataFrame:
-    # the run that holds the rank, by bisection over the sorted runs: 16 halvings do for 65,536 runs
+def _place(placed: DataFrame, halvings: int) -> DataFrame:
+    # the run that holds the rank, by bisection over the sorted runs
     low, high = F.lit(0), F.size("_p") - 1
     found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(16)),
+        F.sequence(F.lit(1), F.lit(halvings)),
         F.struct(low.alias("a"), high.alias("b")),
         lambda s, _: F.when(
             F.get("_p", F.floor((s["a"] + s["b"] + 1) / 2).cast("int"))["lo"] <= F.col("_r"),

@@ -6,8 +6,10 @@ by itself too. So every sentence inside a repeated run lies in a repeated span.
 bits and joined globally; the first place of a span (smallest id, then position) stays, and the
 sentences that any other place covers are removed.
 
-Spans are hashed in tasks of their own text; the global side is a grouped minimum with map-side
-combine and a sort-merge join, so a passage that a third of all documents share is split over tasks.
+Spans are hashed once, in tasks of their own text, and stored; the global side is a grouped minimum with map-side
+combine, and a join that keeps the places of a span which more than a thousandth of all places have out of the shuffle by
+span, so a passage that a third of all documents share is spread over tasks. A sentence of LONE_WORDS words or more
+goes as well where it repeats alone; shorter ones only within a run.
 
 Defined results: null and empty texts have no sentences and stay as they are; a text with fewer words
 than a span needs stays; rows with a null id stay whole and take no part; repeated rows of one id are
@@ -25,13 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlode.llm.common import sliced, spread_join, stored
+
 MIN_SENTENCES, MIN_WORDS, LONE_WORDS = 2, 20, 20
 #: A sentence runs to its stop or line end, with the space after it; sentences together are the whole text.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|\Z)")
 #: Odd multipliers of the two running hashes, and their inverses modulo 2**64.
 BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
 INVERSES = [pow(b, -1, 1 << 64) for b in BASES]
-_STEP = 1024
 
 
 def sentences(text: str) -> list[str]:
@@ -66,22 +69,20 @@ def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WO
 
 def _emit(min_sentences: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(ids), _STEP):
-                found = [(i, *spans(t, min_sentences, min_words)) for i, t in zip(ids[at : at + _STEP].to_pylist(), texts[at : at + _STEP].to_pylist(), strict=True) if t and i is not None]
-                found = [x for x in found if len(x[1])]
-                if found:
-                    key = np.concatenate([x[3] for x in found])
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "h1": key[:, 0],
-                            "h2": key[:, 1],
-                            "id": np.repeat(np.array([x[0] for x in found], np.int64), [len(x[1]) for x in found]),
-                            "s": np.concatenate([x[1] for x in found]).astype(np.int32),
-                            "e": np.concatenate([x[2] for x in found]).astype(np.int32),
-                        }
-                    )
+        for batch in sliced(batches):
+            found = [(i, *spans(t, min_sentences, min_words)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and i is not None]
+            found = [x for x in found if len(x[1])]
+            if found:
+                key = np.concatenate([x[3] for x in found])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "h1": key[:, 0],
+                        "h2": key[:, 1],
+                        "id": np.repeat(np.array([x[0] for x in found], np.int64), [len(x[1]) for x in found]),
+                        "s": np.concatenate([x[1] for x in found]).astype(np.int32),
+                        "e": np.concatenate([x[2] for x in found]).astype(np.int32),
+                    }
+                )
 
     return run
 
@@ -89,12 +90,13 @@ def _emit(min_sentences: int, min_words: int):
 def repeated(df: DataFrame, id_col: str, text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """id, s, e: the places of spans that are not the span's first."""
     places = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(_emit(min_sentences, min_words), "h1 long, h2 long, id long, s int, e int")
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "s")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("f.id").alias("fid"), F.col("f.s").alias("fs"))
-    return places.join(first, ["h1", "h2"]).filter("id <> fid or s <> fs").select("id", "s", "e")
+    places = stored(places, "spans")  # hashed once, read twice
+    first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "s")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("f.id").alias("fid"), F.col("f.s").alias("fs"), "n")
+    return spread_join(places, first, ["h1", "h2"], "n").filter("id <> fid or s <> fs").select("id", "s", "e")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         names = batch.schema.names
         own, marks = batch.column(names.index("_text")), batch.column(names.index("_marks"))
         total, gone, kept = [], [], []
@@ -118,7 +120,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     places = repeated(df, id_col, text, min_sentences, min_words)
     marks = places.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("_marks"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep or [])], F.col(text).alias("_text"))
-    joined = rows.join(marks, "id", "left")
+    # rows without an id have no marks, and keys of their own, so that they don't gather in one task
+    rows = rows.withColumns({"_i": F.coalesce("id", F.lit(0)), "_n": F.when(F.col("id").isNull(), F.xxhash64("_text") | 1).otherwise(F.lit(0).cast("long"))})
+    joined = rows.join(marks.select(F.col("id").alias("_i"), F.lit(0).cast("long").alias("_n"), "_marks"), ["_i", "_n"], "left").drop("_i", "_n")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_text", "_marks"))
     out = joined.mapInArrow(_cut, kinds + ", n_sentences int, n_removed int, kept_text string")
     return out.withColumnsRenamed({"id": id_col} | {f"_k{i}": c for i, c in enumerate(keep or [])})

@@ -10,8 +10,9 @@ the others are revisits of it. A task writes one archive under a name of its own
 writes another, and the manifest, cut from its lineage, names only archives of tasks that ended well.
 
 Defined results: a null payload is empty; a null url leaves the header out; a null id is a response
-that nothing refers to; rows that repeat the largest id are all responses; an empty table gives an
-empty manifest and no records.
+that nothing refers to; rows that repeat the largest id are all responses; an id with several payloads has a record
+for each, and each is typed by its own payload; an empty table gives an empty manifest and no records; columns other
+than the three named ones are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlode.llm.common import cut, new_shared_path
+from eventlode.llm.common import cut, new_shared_path, spread_join
 from eventlode.llm.files import opened
 
 CHUNK_BYTES = 1 << 18
@@ -36,10 +37,10 @@ RECORD_SCHEMA = "page_id long, record_type string, refers_to long, chunk_no long
 
 
 def revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """page_id, refers_to: the pages whose payload a page of larger id has too. pages: page_id, sha1, n_bytes."""
+    """page_id, sha1, n_bytes, refers_to: the payloads of pages that a page of larger id has too. pages: page_id, sha1, n_bytes."""
     large = pages.filter((F.col("n_bytes") >= min_bytes) & F.col("page_id").isNotNull())
     groups = large.groupBy("sha1", "n_bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return large.join(groups, ["sha1", "n_bytes"]).filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return spread_join(large, groups, ["sha1", "n_bytes"], "n").filter("page_id < refers_to").distinct()
 
 
 def _head(kind: str, page, url, digest: bytes, size: int, refers, date: str) -> bytes:
@@ -88,12 +89,14 @@ def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body"))
     known = rows.select("page_id", F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("n_bytes"))
-    typed = rows.join(revisits(known, min_bytes), "page_id", "left")
-    n = F.when(F.col("refers_to").isNotNull(), 0).otherwise(F.floor((F.octet_length("body") - 1) / chunk_bytes)).cast("int")
-    sliced = typed.select("page_id", "url", F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("n_bytes"), "refers_to", "body", F.greatest(n, F.lit(0)).alias("n")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k")
+    typed = rows.withColumns({"sha1": F.sha1("body"), "n_bytes": F.octet_length("body").cast("long")}).join(revisits(known, min_bytes), ["page_id", "sha1", "n_bytes"], "left")
+    n = F.when(F.col("refers_to").isNull(), F.floor((F.col("n_bytes") - 1) / chunk_bytes)).otherwise(0).cast("int")
+    # the chunks are cut in one pass and the body goes no further, so a payload is not copied once per chunk
+    numbers = F.sequence(F.lit(0), F.greatest(n, F.lit(0)))
+    slices = F.transform(numbers, lambda k: F.struct(k.alias("k"), F.when(F.col("refers_to").isNull(), F.substring("body", k * chunk_bytes + 1, F.lit(chunk_bytes))).alias("data")))
+    chunks = typed.select("page_id", "url", "sha1", "n_bytes", "refers_to", F.greatest(n, F.lit(0)).alias("n"), F.explode(slices).alias("c")).select(
+        "page_id", "url", "sha1", "n_bytes", "refers_to", F.col("c.k").alias("k"), (F.col("c.k") == F.col("n")).alias("last"), F.col("c.data").alias("data")
     )
-    chunks = sliced.select("page_id", "url", "sha1", "n_bytes", "refers_to", "k", (F.col("k") == F.col("n")).alias("last"), F.when(F.col("refers_to").isNull(), F.substring("body", F.col("k") * chunk_bytes + 1, F.lit(chunk_bytes))).alias("data"))
     return cut(chunks.mapInArrow(_writer(folder, date), "path string, n_records long"))
 
 
@@ -196,17 +199,14 @@ def read_warc(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, data: bool =
 
 def page_digests(chunks: DataFrame) -> DataFrame:
     """Per page, what the archives say: a revisit's length and digest are those of the response that it refers to."""
-    last = cut(chunks.filter("is_last").select("page_id", "record_type", "refers_to", "bytes_so_far", "sha1_so_far", "declared_sha1", "chunk_no"))
-    responses = last.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("bytes_so_far").alias("r_bytes"), F.max("sha1_so_far").alias("r_sha1"))
-    both = last.join(responses, "refers_to", "left")
-    revisit = F.col("record_type") == "revisit"
-    return both.select(
-        "page_id",
-        F.when(revisit, F.col("r_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"),
-        F.when(revisit, F.col("r_sha1")).otherwise(F.col("sha1_so_far")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    last = cut(chunks.filter("is_last").select("page_id", "record_type", "refers_to", "bytes_so_far", "sha1_so_far", "declared_sha1"))
+    own = last.filter("record_type <> 'revisit'").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("sha1_so_far").alias("payload_digest"), "record_type", "refers_to")
+    revisit = last.filter("record_type = 'revisit'").select("page_id", "refers_to", F.col("declared_sha1").alias("payload_digest"))
+    # what is referred to: a page and a digest, as one page id may have several payloads
+    wanted = revisit.groupBy("refers_to", "payload_digest").agg(F.count(F.lit(1)).alias("n"))
+    response = own.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    found = spread_join(revisit, wanted.join(response, ["refers_to", "payload_digest"]), ["refers_to", "payload_digest"], "n")
+    return own.unionByName(found.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
 
 
 def oracle() -> str:

@@ -63,9 +63,9 @@ def test_a_thousand_copies_meet_their_original(docs):
     assert len(near) > 800 and len({got[i] for i in near}) == 1
 
 
-@pytest.mark.parametrize("cross", [256, 2])
-def test_near_copies_among_texts_with_a_common_passage(docs, monkeypatch, cross):
-    monkeypatch.setattr(neardup, "CROSS", cross)  # 2: buckets of more than about 5 documents are wide
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_near_copies_among_texts_with_a_common_passage(docs, monkeypatch, rounds):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)  # 0: after one star a bucket, the rarest shingles do the rest
     rng = random.Random(13)
     passage = _words(rng, 150)
     own = [_words(rng, 60) for _ in range(50)]
@@ -73,3 +73,13 @@ def test_near_copies_among_texts_with_a_common_passage(docs, monkeypatch, cross)
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs(rows)).collect()} == _classes(rows)
+
+
+def test_similar_texts_share_a_rare_shingle():
+    rng = random.Random(14)
+    for _ in range(300):
+        a = _words(rng, rng.randint(6, 60))
+        b = [w for w in _copy(rng, a, rng.choice([0.0, 0.01, 0.03])) if rng.random() > 0.02]
+        x, y = sorted((_kmers(" ".join(a)), _kmers(" ".join(b))), key=len)
+        if neardup.similarity(x, y) >= 0.8:
+            assert set(sorted(x)[: neardup.prefixes(len(x), 0.8)[1]]) & set(sorted(y)[: neardup.prefixes(len(y), 0.8)[0]])
