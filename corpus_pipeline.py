@@ -4,12 +4,18 @@ Each stage takes (spark, docs, sf_dir), docs being what the stage before has kep
 writes each as Parquet in the shared folder and rereads it. All stages but the last return the columns of
 documents. What a stage decides takes effect in its rows: the first two drop documents, the third shortens
 texts (and drops documents that have no words left of them), the fourth puts rows in the order of the mix, and
-the last returns the pieces of documents with their places in sequences.
+the last returns the pieces of documents with their places in sequences, which follow that order among equal lengths.
+
+Defined results of every stage: a null text is an empty one, a null source or language a value as any other; documents
+without an id are kept by the stages that compare documents (2 and 3), as they can't be told apart; rows that repeat an
+id are judged one by one, and go or stay together in stage 2; an empty table stays empty; columns other than those of
+documents are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlode.llm import mixing, neardup, packing, quality, substring
@@ -44,9 +50,24 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.repartitionByRange("slot", "in_block", "id").sortWithinPartitions("slot", "in_block", "id").select(*COLUMNS)
 
 
+def _order_written(docs: DataFrame) -> Column | None:
+    """Where the mixing stage put a row: the number of its file, then its number in the file. None for rows that are in no files."""
+    try:
+        docs.select("_metadata.row_index", "_metadata.file_name").schema  # noqa: B018
+    except AnalysisException:
+        return None
+    part = F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as bigint)"), F.lit(0))
+    return F.shiftleft(part, packing.PLACE_BITS) + F.col("_metadata.row_index")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of at most 1024 tokens."""
-    return packing.pack(cut(packing.token_pieces(docs, tokenizer_path())))
+    """The pieces of all documents and their places in sequences of at most 1024 tokens.
+
+    Of pieces of equal length those that come earlier in the mix are in earlier sequences.
+    """
+    place = _order_written(docs)
+    pieces = cut(packing.token_pieces(docs, tokenizer_path(), place=place))
+    return packing.pack(pieces, place=None if place is None else "place").drop("place")
 
 
 STAGES = [
