@@ -12,18 +12,17 @@ labels; a pair that is similar enough stays within a band of (n1 + n2) / 9 aroun
 only matches in the band count. Classes are the connected components of the links.
 
 Equal texts are grouped first, by a 128-bit digest of their words, and one document stands for each group.
-Buckets are stars: each member is compared with the bucket's leader, first the document that meets most others in all
-its buckets, then, in buckets that still hold several classes of linked documents, others drawn by hash, as long as
-these find links and for ROUNDS rounds at most. What no leader has settled is done exactly: the documents of buckets
-that hold several classes are joined by the rarest of their shingles. Two texts of similarity s share one of
+Buckets are stars: each member is compared with the bucket's leader, the document that meets most others in all its
+buckets, and linked documents form classes. What the leaders leave open is done exactly: the documents of buckets that
+still hold several classes are joined by the rarest of their shingles. Two texts of similarity s share one of
 the first n - s * n + 1 shingles in any common order, and of the shorter text n - 2 * s / (1 + s) * n + 1 are enough; the
 order is by the counts of shingles in BINS bins, so a passage that many documents share comes last and brings nobody
-together who does not consist of it. All pairs of different classes that meet there, and whose lengths allow the similarity,
-are compared. No bucket is collected in one task, and pairs within a class are not made.
+together who does not consist of it. All pairs of different classes that meet there, and whose lengths and the places of
+the shingle in their orders allow the similarity, are compared. No bucket is collected in one task, and pairs within a class are not made.
 
 Defined results: texts are lower-cased and split at white space; one of fewer than five words is one shingle;
-one without words (null, empty) is a class of its own; a null id has a null class; rows that repeat an id
-are one document; an empty table gives an empty result; extra columns are ignored.
+one without words (null, empty) is a class of its own; a null id has a null class; of rows that repeat an id the one
+of smallest text counts; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlode.llm.common import cut, sliced, stored
+from eventlode.llm.common import cut, sliced, spread_join, stored
 from eventlode.llm.graph import components
 from eventlode.llm.hashing import LOWER, mixed, stepped, word_hashes
 
 WORDS, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 3
-#: Star rounds after the first, and bins of shingle counts.
-ROUNDS, BINS = 3, 1 << 18
+#: Bins of shingle counts.
+BINS = 1 << 18
 #: Shingles from which on a text's sketches are taken one by one.
 MANY = 1 << 16
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -159,7 +158,7 @@ def _rarest(shared, least: float):
                 h = labelled(word_hashes([_bytes(text.as_py())])[0])
                 h = h[np.lexsort((h, shared.value[(h % np.uint64(BINS)).astype(np.int64)]))]
                 longer, shorter = prefixes(len(h), least)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:longer].view(np.int64)), pa.array([c] * longer, pa.int64()), pa.array([i] * longer, pa.int64()), pa.array([n] * longer, pa.int64()), pa.array(np.arange(longer) < shorter)], names=["k", "c", "id", "n", "shorter"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[:longer].view(np.int64)), pa.array([c] * longer, pa.int64()), pa.array([i] * longer, pa.int64()), pa.array([n] * longer, pa.int64()), pa.array(np.arange(longer)), pa.array(np.arange(longer) < shorter)], names=["k", "c", "id", "n", "p", "shorter"])
 
     return run
 
@@ -189,11 +188,10 @@ def _members(keys: DataFrame) -> DataFrame:
     return cut(shared.join(shared.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k1", "k2", "id", "n", "weight"))
 
 
-def _leaders(m: DataFrame, turn: int) -> DataFrame:
-    """Per bucket the document that meets most others; in later turns one drawn by the bucket's own hash."""
-    rank = F.col("weight") if turn == 0 else F.xxhash64("k1", "k2", "id", F.lit(turn))
-    best = F.max(F.struct(rank.alias("r"), (-F.col("id")).alias("o"), F.col("n").alias("nb"), F.col("c").alias("cb"))).alias("l")
-    return m.groupBy("k1", "k2").agg(best).select("k1", "k2", (-F.col("l.o")).alias("b"), "l.nb", "l.cb")
+def _leaders(m: DataFrame) -> DataFrame:
+    """Per bucket the document that meets most others in all its buckets."""
+    best = F.max(F.struct("weight", (-F.col("id")).alias("o"), F.col("n").alias("nb"))).alias("l")
+    return m.groupBy("k1", "k2").agg(best).select("k1", "k2", (-F.col("l.o")).alias("b"), "l.nb")
 
 
 def _fits(least: float) -> Column:
@@ -202,62 +200,48 @@ def _fits(least: float) -> Column:
 
 
 def _stars(m: DataFrame, lead: DataFrame, least: float) -> DataFrame:
-    """a, b: members with their bucket's leader, if that is of another class."""
-    return m.join(lead, ["k1", "k2"]).filter((F.col("c") != F.col("cb")) & _fits(least)).select(F.col("id").alias("a"), "b").distinct()
-
-
-def _of_class(m: DataFrame, classes: DataFrame) -> DataFrame:
-    return m.join(classes, "id", "left").withColumn("c", F.coalesce("class_id", "id")).drop("class_id")
+    """a, b: members with their bucket's leader."""
+    return m.join(lead, ["k1", "k2"]).filter((F.col("id") != F.col("b")) & _fits(least)).select(F.col("id").alias("a"), "b").distinct()
 
 
 def _mixed(m: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets of several classes, with their class."""
-    own = cut(_of_class(m.drop("c"), classes))
+    """id, n, c: the documents of buckets of several classes, with their class."""
+    own = cut(m.join(classes, "id", "left").withColumn("c", F.coalesce("class_id", "id")).select("k1", "k2", "id", "n", "c"))
     several = own.groupBy("k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k1", "k2")
-    return cut(own.join(several, ["k1", "k2"]))
+    return cut(own.join(several, ["k1", "k2"]).select("id", "n", "c").distinct())
 
 
 def _rare_pairs(docs: DataFrame, rest: DataFrame, least: float) -> DataFrame:
     """a, b: all pairs of different classes among rest (id, n, c) that may be similar enough, by their rarest shingles."""
     texts = stored(docs.join(rest, "id").select("id", "n", "c", "text"), "mixed")
     counts = texts.select("text").mapInArrow(_bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    total = np.zeros(BINS, np.int64)
-    for r in counts.collect():  # BINS rows at most
-        total[r["bin"]] = r["n"]
-    rare = stored(texts.mapInArrow(_rarest(docs.sparkSession.sparkContext.broadcast(total), least), "k long, c long, id long, n long, shorter boolean"), "rare")
+    found, total = counts.toArrow(), np.zeros(BINS, np.int64)  # BINS rows at most
+    total[found["bin"].to_numpy()] = found["n"].to_numpy()
+    rare = stored(texts.mapInArrow(_rarest(docs.sparkSession.sparkContext.broadcast(total), least), "k long, c long, id long, n long, p long, shorter boolean"), "rare")
     groups = rare.groupBy("k", "c").agg(F.max("shorter").alias("shorter"))
     several = groups.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k")
     groups = cut(groups.join(several, "k"))
     kinds = groups.filter("shorter").select("k", "c").join(groups.select("k", F.col("c").alias("cb")), "k").filter("c <> cb")
-    one = rare.filter("shorter").select("k", "c", F.col("id").alias("a"), "n")
-    other = rare.select("k", F.col("c").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = kinds.join(one, ["k", "c"]).join(other, ["k", "cb"]).filter("n < nb or n = nb and a < b").filter(_fits(least))
+    one = rare.filter("shorter").select("k", "c", F.col("id").alias("a"), "n", "p")
+    other = rare.select("k", F.col("c").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    # the first shingle that two texts share leaves room for all that they must share; any later one leaves less
+    room = F.least(F.col("n") - F.col("p"), F.col("nb") - F.col("pb")) >= F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("nb")) - F.lit(1e-6))
+    met = kinds.join(one, ["k", "c"]).join(other, ["k", "cb"]).filter("n < nb or n = nb and a < b").filter(_fits(least)).filter(room)
     return met.select("a", "b").distinct()
 
 
-def _new(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
-    """The pairs that are not among those done, in either order."""
-    if done is None:
-        return cut(pairs)
-    return cut(pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(done, ["x", "y"], "left_anti").select("a", "b"))
-
-
 def _links(keys: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """a, b: links whose components are those of all links. keys: k1, k2, id, n of documents that stand for their copies."""
-    live, links, done = _members(keys).withColumn("c", F.col("id")), None, None
-    for turn in range(ROUNDS + 1):
-        pairs = _new(_stars(live, _leaders(live, turn), least), done)
-        found = _verified(pairs, _texts(docs, pairs), least)
-        new = found.filter("linked").select("a", "b")
-        seen = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        links, done = new if links is None else links.union(new), seen if done is None else done.union(seen)
-        live = _mixed(live, components(links))
-        if new.isEmpty() or live.isEmpty():
-            break
-    if live.isEmpty():
+    members = _members(keys)
+    pairs = cut(_stars(members, _leaders(members), least))
+    found = _verified(pairs, _texts(docs, pairs), least)
+    links = found.filter("linked").select("a", "b")
+    rest = _mixed(members, components(links))
+    if rest.isEmpty():
         return links
-    rest = live.select("id", "n", "c").distinct()
-    pairs = _new(_rare_pairs(docs.dropDuplicates(["id"]), rest, least), done)
+    done = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    met = _rare_pairs(docs, rest, least).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+    pairs = cut(met.join(done, ["x", "y"], "left_anti").select("a", "b"))
     return links.union(_verified(pairs, _texts(docs, pairs), least).filter("linked").select("a", "b"))
 
 
@@ -269,20 +253,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
-    return docs.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    return docs.join(wanted, "id", "left_semi")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """id, class_id (smallest id of the class): one row for each different id."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = cut(docs.mapInArrow(_sketches, "id long, n_words long, d1 long, d2 long, keys array<long>"))
+    sketched = lambda d: cut(d.mapInArrow(_sketches, "id long, n_words long, d1 long, d2 long, keys array<long>"))
+    rows = sketched(docs)
+    if not rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        docs = docs.groupBy("id").agg(F.min("text").alias("text"))
+        rows = sketched(docs)
     full = rows.filter("n_words > 0 and id is not null")
-    groups = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    member = cut(full.select("id", "d1", "d2").join(groups, ["d1", "d2"]).select("id", "rep"))
-    reps = full.join(groups.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1)).alias("n"), "keys")
+    groups = cut(full.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    reps = full.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1)).alias("n"), "keys")
     keys = reps.select("id", "n", F.posexplode("keys").alias("j", "k1")).select("k1", F.col("j").cast("long").alias("k2"), "id", "n").distinct()
-    same = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = _links(keys, docs, least)
-    classes = components(links.union(same))
-    ids = rows.select("id").distinct()
-    return ids.join(classes, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    classes = components(_links(keys, docs, least)).select(F.col("id").alias("rep"), "class_id")
+    # copies take the class of the document that stands for them; the smallest id of a component is one of these
+    named = groups.join(classes, "rep", "left").select("d1", "d2", F.coalesce("class_id", "rep").alias("class_id"), "n")
+    found = spread_join(full.select("id", "d1", "d2"), named, ["d1", "d2"], "n").select("id", "class_id")
+    others = rows.filter("n_words = 0 or id is null").select("id").distinct()
+    return found.union(others.select("id", F.col("id").alias("class_id"))).withColumnRenamed("id", id_col)
