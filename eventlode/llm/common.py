@@ -58,7 +58,7 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, p
     hot = marked.filter("_hot").select(*on, F.lit(True).alias("_is_hot"), *[F.col(c).alias(f"_h_{c}") for c in values])
     cold = marked.filter("not _hot").select(*on, F.lit(0).cast("long").alias("_salt"), F.lit(True).alias("_is_cold"), *values)
     others = [c for c in rows.columns if c not in on]
-    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_is_hot"), F.xxhash64(*others) | 1).otherwise(F.lit(0).cast("long")))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_is_hot"), F.xxhash64(*others).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")))
     both = salted.join(cold, [*on, "_salt"], "left").filter("_is_hot or _is_cold")
     return both.select(*on, *others, *[F.when(F.col("_is_hot"), F.col(f"_h_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 

@@ -121,7 +121,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     marks = places.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("_marks"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep or [])], F.col(text).alias("_text"))
     # rows without an id have no marks, and keys of their own, so that they don't gather in one task
-    rows = rows.withColumns({"_i": F.coalesce("id", F.lit(0)), "_n": F.when(F.col("id").isNull(), F.xxhash64("_text") | 1).otherwise(F.lit(0).cast("long"))})
+    rows = rows.withColumns({"_i": F.coalesce("id", F.lit(0)), "_n": F.when(F.col("id").isNull(), F.xxhash64("_text").bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))})
     joined = rows.join(marks.select(F.col("id").alias("_i"), F.lit(0).cast("long").alias("_n"), "_marks"), ["_i", "_n"], "left").drop("_i", "_n")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_text", "_marks"))
     out = joined.mapInArrow(_cut, kinds + ", n_sentences int, n_removed int, kept_text string")
