@@ -7,8 +7,11 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: English month names by their first three letters.
+#: English month names by their first three letters, and Hebrew ones.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+HEBREW_MONTHS = ["ינואר", "פברואר", "מרץ", "אפריל", "מאי", "יוני", "יולי", "אוגוסט", "ספטמבר", "אוקטובר", "נובמבר", "דצמבר"]
+#: Times of an event that tells none.
+START_TIME, END_TIME = "20:00", "22:30"
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -42,9 +45,59 @@ def month_name(text: Column, today: dt.date) -> Column:
     return F.coalesce(first, F.when(day_month(1) != "", _date(year(day_month(3)), number(day_month(2)), day_month(1))))
 
 
+def hebrew_date(text: Column, today: dt.date) -> Column:
+    """"14 מרץ 2026"; without a year, this year's."""
+    names = "|".join(HEBREW_MONTHS)
+    part = lambda i: F.regexp_extract(text, rf"(\d{{1,2}})\s+ב?({names})\s*(\d{{4}})?", i)
+    number = F.array_position(F.array(*map(F.lit, HEBREW_MONTHS)), part(2)).cast("string")
+    return F.when(part(1) != "", _date(F.when(part(3) != "", part(3)).otherwise(F.lit(str(today.year))), number, part(1)))
+
+
+def date_range(text: Column, today: dt.date) -> Column:
+    """struct(start, end) of "May 1st, 2026 to May 2nd, 2026"; without an end both are the start."""
+    sides = F.split(text, r"(?i)\s+to\s+", 2)
+    start = any_date(F.get(sides, F.lit(0)), today)
+    return F.struct(start.alias("start"), F.coalesce(any_date(F.get(sides, F.lit(1)), today), start).alias("end"))
+
+
+def clock_12(text: Column) -> Column:
+    """HH:MM of a time with or without am and pm; the default time where there is none or it is out of bounds."""
+    part = lambda i: F.regexp_extract(F.lower(text), r"(\d{1,2}):(\d{2})\s*(am|pm)?", i)
+    h = part(1).try_cast("int")
+    hour = F.when((part(3) == "pm") & (h < 12), h + 12).when((part(3) == "am") & (h == 12), 0).otherwise(h)
+    return F.when(hour.between(0, 23), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2))).otherwise(F.lit(START_TIME))
+
+
+def date_and_times(date_text: Column, time_text: Column, today: dt.date) -> Column:
+    """struct(start_date, start_time, end_time): ISO, then month name, then day first; a date that is over is null, times have defaults."""
+    found = F.coalesce(iso_date(date_text), month_name(date_text, today), day_first(date_text, today))
+    return F.struct(F.when(found >= F.lit(today), found).alias("start_date"), F.coalesce(clock_12(time_text), F.lit(START_TIME)).alias("start_time"), F.lit(END_TIME).alias("end_time"))
+
+
+def zulu(text: Column) -> Column:
+    """An ISO timestamp, Z or an offset minded; null where it is none."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
+def epoch(number: Column, zone: str = "UTC") -> Column:
+    """A timestamp of epoch seconds, or milliseconds where the number is too large for these, in a zone."""
+    n = number.try_cast("double")
+    return F.from_utc_timestamp(F.timestamp_millis(F.when(n >= 100_000_000_000, n).otherwise(n * 1000).cast("long")), zone)
+
+
+def months_later(date: Column, n: int) -> Column:
+    """The same day n months later; a day that the month lacks becomes its last."""
+    return F.add_months(date, n)
+
+
+def racing_years(month: Column, year: Column) -> Column:
+    """This year, and in the last quarter the next one too."""
+    return F.when(month >= 10, F.array(year, year + 1)).otherwise(F.array(year))
+
+
 def any_date(text: Column, today: dt.date) -> Column:
-    """The first reading that works: ISO, month name, day first."""
-    return F.coalesce(iso_date(text), month_name(text, today), day_first(text, today))
+    """The first reading that works: ISO, month name in either language, day first."""
+    return F.coalesce(iso_date(text), month_name(text, today), hebrew_date(text, today), day_first(text, today))
 
 
 def clock(text: Column) -> Column:

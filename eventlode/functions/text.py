@@ -132,3 +132,60 @@ def versus(name: Column) -> tuple[Column, Column]:
     parts = F.split(name, r" vs\.? ", 2)
     two = F.size(parts) == 2
     return F.when(two, F.trim(F.get(parts, F.lit(0)))), F.when(two, F.trim(F.get(parts, F.lit(1))))
+
+
+def price_or_free(text: Column) -> Column:
+    """The first number, or 0 for "free"."""
+    return F.coalesce(price_of(text), F.when(F.lower(text).contains("free"), 0.0))
+
+
+def cents(n: Column) -> Column:
+    """Hundredths as units; nothing and zero give null."""
+    return F.when(n != 0, F.round(n.cast("decimal(18,4)") / 100, 2).cast("double"))
+
+
+def percent_1(n: Column, total: Column) -> Column:
+    """Percent with one decimal, halves away from zero in decimal arithmetic; 0 of nothing is 0."""
+    return F.when(total > 0, F.round(n.cast("decimal(20,0)") * 100 / total.cast("decimal(20,0)"), 1).cast("double")).otherwise(F.lit(0.0))
+
+
+#: Symbols of currencies; others are written by their code.
+CURRENCY_SIGNS = {"USD": "$", "EUR": "€", "GBP": "£", "ILS": "₪", "JPY": "¥"}
+
+
+def money(amount: Column, currency: Column) -> Column:
+    """A whole amount with its sign, or its code, in front."""
+    sign = F.create_map(*[F.lit(x) for kv in CURRENCY_SIGNS.items() for x in kv])[currency]
+    return F.concat(F.coalesce(sign, F.concat(currency, F.lit(" "))), F.format_number(amount, 0))
+
+
+def range_numbers(spec: Column) -> Column:
+    """"7-10,15" as its sorted different numbers; parts that are neither a number nor a range are left out."""
+    part = lambda p, i: F.regexp_extract(p, r"^\s*(\d{1,9})\s*(?:-\s*(\d{1,9})\s*)?$", i)
+    each = F.transform(F.split(spec, ","), lambda p: F.when((part(p, 1) != "") & (part(p, 2) == ""), F.array(part(p, 1).cast("int"))).when((part(p, 1) != "") & (part(p, 1).cast("int") <= part(p, 2).try_cast("int")), F.sequence(part(p, 1).cast("int"), part(p, 2).try_cast("int"))).otherwise(F.expr("cast(array() as array<int>)")))
+    return F.array_sort(F.array_distinct(F.flatten(each)))
+
+
+def filled_line(template: Column, mark: str, line: Column) -> Column:
+    """The template with the line that starts with the mark replaced, or the line added at its end."""
+    has = template.rlike(rf"(?m)^{mark}.*$")
+    return F.when(has, F.regexp_replace(template, F.lit(rf"(?m)^{mark}.*$"), F.replace(F.replace(line, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")))).otherwise(F.concat(template, F.lit("\n"), line))
+
+
+def listed_json(values: Column) -> Column:
+    """A list as JSON text; an empty one is null."""
+    return F.when(F.size(values) > 0, F.to_json(values))
+
+
+def json_list(text: Column) -> Column:
+    return F.from_json(text, "array<string>")
+
+
+def place_matches(term: str, city: Column, country: Column) -> Column:
+    """A term in the city, the country or "city, country"."""
+    t = F.lit(term.lower().strip())
+    return F.contains(F.lower(city), t) | F.contains(F.lower(country), t) | F.contains(F.lower(F.concat_ws(", ", city, country)), t)
+
+
+def search_link(home: Column, away: Column) -> Column:
+    return F.concat(F.lit("https://www.youtube.com/results?search_query="), F.url_encode(F.concat(home, F.lit(" vs "), away, F.lit(" highlights"))))

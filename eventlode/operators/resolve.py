@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlode.functions.rule_tables import SOURCE_PRIORITY
 from eventlode.functions.text import blank
+from eventlode.operators.similarity import greedy_clusters
 
 
 def completeness(columns: list[str]) -> Column:
@@ -47,3 +49,40 @@ def repointed(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 
 def without(df: DataFrame, id_col: str, mapping: DataFrame) -> DataFrame:
     return df.join(mapping.select(F.col("drop_id").alias(id_col)), id_col, "left_anti")
+
+
+MERGED = ["purchase_link", "image_url", "start_time", "artist_name"]
+
+
+def merged_duplicates(events: DataFrame, cluster: str, priorities: dict[str, int] | None = None) -> DataFrame:
+    """The events after merging clusters: the keeper by the source's priority, then by how many of seven fields it fills, then by
+    id; its missing link, price with currency, image, time and artist come from the other rows in id order. A price of 0 is a missing one.
+    """
+    table = SOURCE_PRIORITY if priorities is None else priorities
+    priority = F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.coalesce("scrape_source", F.lit(""))], F.lit(1))
+    priced = F.coalesce(F.col("price") != 0, F.lit(False))
+    full = [~blank(F.col(c).cast("string")) for c in ("purchase_link", "image_url", "start_time", "artist_name", "description", "venue_id")]
+    score = sum((f.cast("int") for f in [*full, priced]), F.lit(0))
+    members = events.withColumn("_price", F.when(priced, F.struct("price", "price_currency"))).withColumn("_rank", F.struct((-priority).alias("p"), (-score).alias("c"), F.col("event_id").alias("id")))
+    rest = [c for c in events.columns if c != cluster]
+    best = F.min_by(F.struct(*rest), "_rank")
+    donors = {c: F.min_by(F.when(~blank(F.col(c)), F.col(c)), F.when(~blank(F.col(c)), F.col("event_id"))) for c in MERGED}
+    price = F.min_by("_price", F.when(F.col("_price").isNotNull(), F.col("event_id")))
+    groups = members.groupBy(cluster).agg(best.alias("k"), price.alias("_dp"), F.count(F.lit(1)).alias("n_members"), *[d.alias(f"_d_{c}") for c, d in donors.items()])
+    has = F.coalesce(F.col("k.price") != 0, F.lit(False))
+    fixed = {c: F.when(blank(F.col(f"k.{c}")), F.coalesce(F.col(f"_d_{c}"), F.col(f"k.{c}"))).otherwise(F.col(f"k.{c}")) for c in MERGED}
+    fixed["price"] = F.when(has | F.col("_dp").isNull(), F.col("k.price")).otherwise(F.col("_dp.price"))
+    fixed["price_currency"] = F.when(has | F.col("_dp").isNull(), F.col("k.price_currency")).otherwise(F.col("_dp.price_currency"))
+    return groups.select(*[fixed.get(c, F.col(f"k.{c}")).alias(c) for c in rest], "n_members")
+
+
+def dedup(events: DataFrame, least: float = 0.80) -> tuple[DataFrame, DataFrame]:
+    """The events without duplicates of a venue and day, and one row of groups_checked and duplicates_removed.
+
+    Events without a venue are left alone; the greedy clusters of a block are made in id order."""
+    own = greedy_clusters(events.filter(F.col("venue_id").isNotNull()), ["venue_id", "start_date"], "event_id", "name", least).select("event_id", "cluster")
+    clustered = events.join(own, "event_id", "left").withColumn("cluster", F.coalesce("cluster", "event_id"))
+    kept = merged_duplicates(clustered, "cluster")
+    blocks = events.filter(F.col("venue_id").isNotNull()).groupBy("venue_id", "start_date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("groups_checked"))
+    removed = kept.agg(F.coalesce(F.sum(F.col("n_members") - 1), F.lit(0)).alias("duplicates_removed"))
+    return kept.drop("n_members"), blocks.crossJoin(F.broadcast(removed))

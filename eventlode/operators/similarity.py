@@ -57,3 +57,34 @@ def greedy_clusters(df: DataFrame, block: list[str], id_col: str, name: str, lea
 
     many = some.join(crowded, block, "left_semi").groupBy(*block).applyInPandas(cluster, "_id long, cluster long")
     return rows.join(many, "_id", "left").select(*block, F.col("_id").alias(id_col), F.coalesce("cluster", "_id").alias("cluster"))
+
+
+def survivors(df: DataFrame, block: list[str], order: str, name: str, is_new: str, least: float = 0.85) -> DataFrame:
+    """order of the new rows that are kept: in order, a new row goes if its name resembles by more than `least` that of a stored
+    row of its block or of a new row kept before; rows that went don't count. Rows with a blank block column are all kept.
+
+    Equal names are grouped before a block reaches Python: the first of a new name decides for all, and a name that is
+    stored settles it, so only blocks with two different names are compared.
+    """
+    rows = df.select(*block, F.col(order).alias("_o"), F.lower(F.coalesce(F.col(name), F.lit(""))).alias("_name"), F.col(is_new).cast("boolean").alias("_new"))
+    known = F.lit(True)
+    for c in block:
+        known = known & F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    names = rows.filter(known).groupBy(*block, "_name").agg(F.min("_o").alias("_o"), F.min("_new").alias("_new"))
+    busy = names.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.max("_new").alias("_any")).filter("_n > 1 and _any").select(*block)
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[str] = []
+        out = []
+        for o, text, new in pdf.sort_values(["_new", "_o"])[["_o", "_name", "_new"]].itertuples(index=False):
+            like = new and any(2 * min(len(text), len(m)) >= least * (len(text) + len(m)) and SequenceMatcher(None, text, m).ratio() > least for m in kept)
+            if not like:
+                kept.append(text)
+                if new:
+                    out.append(o)
+        return pd.DataFrame({"_o": pd.Series(out, dtype="int64")})
+
+    compared = names.join(busy, block, "left_semi").groupBy(*block).applyInPandas(keep, "_o long")
+    alone = names.join(busy, block, "left_anti").filter("_new").select(F.col("_o").cast("long"))
+    free = rows.filter(~known & F.col("_new")).select(F.col("_o").cast("long"))
+    return compared.union(alone).union(free).withColumnRenamed("_o", order)

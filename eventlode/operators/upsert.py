@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,15 +52,20 @@ def insert_absent(current: DataFrame, new: DataFrame, key: list[str]) -> DataFra
     return current.unionByName(new.join(current.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
-def numbered(new: DataFrame, current: DataFrame, id_col: str, order: list[str], ranges: int = 64) -> DataFrame:
+def numbered(new: DataFrame, current: DataFrame, id_col: str, order: list[str], ranges: int | None = None) -> DataFrame:
     """Ids for new rows: the largest id so far plus the row's rank in natural order.
 
     Ranks come from row numbers within ranges of the first order column and counts of the ranges before, so no
     task sees all rows.
     """
     top = current.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    # both uses must see the same ranges, which are drawn from a sample: one stored relation gives them
-    ranged = new.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    # both uses must see the same ranges, which are drawn from a sample: one relation in the shared folder gives them
+    session = new.sparkSession
+    folder = session.sparkContext.getCheckpointDir() or session.conf.get("spark.checkpoint.dir", None) or session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    path = f"{folder.rstrip('/')}/numbered-{uuid.uuid4().hex}"
+    spread = (ranges, *order) if ranges else order
+    new.repartitionByRange(*spread).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = session.read.parquet(path)
     own = Window.partitionBy("_part").orderBy(*order)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -12,6 +12,11 @@ ev AS (SELECT o_orderkey::BIGINT AS event_id, o_custkey::BIGINT AS venue_id, o_o
 types AS (SELECT p_partkey::BIGINT AS type_id, p_name AS type_name, p_type AS category FROM part),
 bridge AS (SELECT DISTINCT l_orderkey::BIGINT AS event_id, l_partkey::BIGINT AS type_id FROM lineitem),
 artists AS (SELECT event_id, s_name AS artist_name FROM (SELECT l_orderkey::BIGINT AS event_id, min(l_suppkey) AS s FROM lineitem GROUP BY 1) JOIN supplier ON s = s_suppkey),
+taxonomy AS (SELECT city_name AS sub_genre, country AS parent_genre FROM cities),
+genres AS (SELECT lower(s_name) AS normalized_name, CASE WHEN s_suppkey % 7 = 0 THEN 'UNKNOWN' ELSE n.n_name END AS primary_genre, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 7 <> 0 THEN o.n_name END AS secondary_1, NULL::VARCHAR AS secondary_2
+  FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey LEFT JOIN nation o ON o.n_nationkey = (s_nationkey + 7) % 25 WHERE s_suppkey % 3 <> 0),
+matches AS (SELECT event_id, CASE WHEN sport IS NOT NULL THEN 'League ' || (event_id % 3) || ' - ' || city_name || ' Reds vs ' || country || ' Blues' ELSE type_name END AS event_name, CASE WHEN sport IS NOT NULL THEN city_name || ' Reds' END AS home_team, CASE WHEN sport IS NOT NULL THEN country || ' Blues' END AS away_team
+  FROM ev JOIN venues USING (venue_id) JOIN cities USING (city_id) LEFT JOIN (SELECT event_id, min(type_id) AS type_id FROM bridge GROUP BY 1) USING (event_id) LEFT JOIN types USING (type_id)),
 logs AS (SELECT event_id::BIGINT AS log_id, event_type AS job_name, user_id::BIGINT AS detail, ts AS started_at, trunc(value)::BIGINT AS events_found FROM events)
 """
 

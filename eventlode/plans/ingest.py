@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlode.functions import dates
+from eventlode.functions import dates, names
 from eventlode.functions import text as T
 from eventlode.operators import similarity, upsert
 from eventlode.plans.book import Book
@@ -29,8 +29,9 @@ def ingest(events: DataFrame, raw: DataFrame, arrival: str = "arrival", least: f
     """events: stored rows (event_id, source, source_id, name, venue_name, start_date, start_time, end_date, end_time, price).
     raw: new records of the same columns without event_id, with an arrival number. Returns all rows after the ingest.
 
-    Equal (source, source_id) fold in arrival order and fill blanks of stored rows; a new row whose name resembles an
-    earlier survivor's at the same venue and day is dropped (stored rows come first). Missing end times follow the start.
+    Equal (source, source_id) fold in arrival order and fill blanks of stored rows; a new row whose name resembles that of
+    a stored row or of a new row kept before, at the same venue and day, is dropped; rows without a venue's name are not
+    compared. Missing end times follow the start; a new row without an artist gets the one that its title names.
     """
     rows = split_titles(raw).filter(F.col("start_date").isNotNull())
     key = ["source", "source_id"]
@@ -38,13 +39,13 @@ def ingest(events: DataFrame, raw: DataFrame, arrival: str = "arrival", least: f
     delta = upsert.fold_delta(rows, key, arrival).join(rows.groupBy(*key).agg(F.min(arrival).alias(arrival)), key)
     known = delta.join(events.select(*key), key, "left_semi")
     new = delta.join(events.select(*key), key, "left_anti")
-    # stored rows before new ones, in the order that the clusters are made in
-    old_rank = events.select(*key, "name", "venue_name", "start_date", F.col("event_id").alias("_order"), F.lit(0).alias("_new"))
-    top = events.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("_top"))
-    new_rank = new.crossJoin(F.broadcast(top)).select(*key, "name", "venue_name", "start_date", (F.col("_top") + 1 + F.col(arrival)).alias("_order"), F.lit(1).alias("_new"))
+    # stored rows before new ones, and only those of the blocks that new rows come to
+    old_rank = events.select("name", "venue_name", "start_date", F.col("event_id").alias("_order"), F.lit(False).alias("_new"))
+    new_rank = new.select("name", "venue_name", "start_date", F.col(arrival).alias("_order"), F.lit(True).alias("_new"))
     touched = old_rank.join(new_rank.select("venue_name", "start_date").distinct(), ["venue_name", "start_date"], "left_semi")
-    clusters = similarity.greedy_clusters(touched.unionByName(new_rank), ["venue_name", "start_date"], "_order", "name", least)
-    fresh = new_rank.join(clusters.select("_order", "cluster"), "_order").filter("cluster = _order").select(*key)
+    fresh = new.join(similarity.survivors(touched.unionByName(new_rank), ["venue_name", "start_date"], "_order", "name", "_new", least).withColumnRenamed("_order", arrival), arrival, "left_semi").select(*key)
+    if "artist_name" in new.columns:
+        new = new.withColumn("artist_name", F.coalesce(F.nullif("artist_name", F.lit("")), names.artist_in_title(F.col("name"))))
     inserts = upsert.numbered(new.join(fresh, key, "left_semi"), events, "event_id", [arrival]).drop(arrival)
     updated = upsert.upsert(events, known.drop(arrival), key, backfill=filled).drop("change")
     out = updated.unionByName(inserts.select(*updated.columns))

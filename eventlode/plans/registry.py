@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _books() -> list:
-    from eventlode.plans import classify, extract, ingest, maintenance, search, stats, streams
+    from eventlode.plans import classify, extract, ingest, maintenance, search, stats, streams, writes
 
-    return [search.BOOK, stats.BOOK, maintenance.BOOK, extract.BOOK, classify.BOOK, ingest.BOOK, streams.BOOK]
+    return [search.BOOK, stats.BOOK, maintenance.BOOK, extract.BOOK, classify.BOOK, writes.BOOK, ingest.BOOK, streams.BOOK]
 
 
 def queries() -> dict:

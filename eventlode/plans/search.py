@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlode.functions import text as T
+from eventlode.functions.rule_tables import GENRE_FORMATS
 from eventlode.plans.book import Book
 from eventlode.sources import bind
 
@@ -32,6 +33,8 @@ class CatalogFilter:
     match: str = "word"
     escape: bool = False
     league_labels: tuple[str, ...] = field(default=())
+    genres: tuple[str, ...] = ()
+    genre_formats: dict[str, tuple[str, list[str]]] = field(default_factory=lambda: GENRE_FORMATS)
 
 
 @dataclass(frozen=True)
@@ -42,16 +45,37 @@ class Catalog:
     types: DataFrame
     bridge: DataFrame
     artists: DataFrame
+    taxonomy: DataFrame
+    artist_genres: DataFrame
+    matches: DataFrame
 
 
 def bound(spark: SparkSession, sf_dir: str) -> Catalog:
-    return Catalog(bind.cities(spark, sf_dir), bind.venues(spark, sf_dir), bind.catalog_events(spark, sf_dir), bind.event_types(spark, sf_dir), bind.event_event_types(spark, sf_dir), bind.event_artists(spark, sf_dir))
+    return Catalog(bind.cities(spark, sf_dir), bind.venues(spark, sf_dir), bind.catalog_events(spark, sf_dir), bind.event_types(spark, sf_dir), bind.event_event_types(spark, sf_dir), bind.event_artists(spark, sf_dir), bind.genre_taxonomy(spark, sf_dir), bind.artist_genres(spark, sf_dir), bind.match_ups(spark, sf_dir))
 
 
 def _match(c: Column, term: str, f: CatalogFilter) -> Column:
     return T.word_match(c, term, f.escape) if f.match == "word" else T.contains_ci(c, term, f.escape)
 
 
+def in_genres(cat: Catalog, f: CatalogFilter) -> DataFrame:
+    """event_id of events of the parent genres: by the artist's genres, or, where the artist is none of the classified ones and
+    the event no sport, by an event type of the genre's category whose name has one of the genre's words. Semi and anti joins only."""
+    subs = cat.taxonomy.filter(F.col("parent_genre").isin(list(f.genres))).select("sub_genre").distinct()
+    slots = cat.artist_genres.select("normalized_name", F.explode(F.array("primary_genre", "secondary_1", "secondary_2")).alias("sub_genre"))
+    tagged = slots.join(subs, "sub_genre", "left_semi").select(F.col("normalized_name").alias("_key"))
+    own = cat.artists.withColumn("_key", F.lower("artist_name"))
+    by_artist = own.join(tagged, "_key", "left_semi").select("event_id")
+    forms = [(F.col("category") == c) & (T.any_of([T.contains_ci(F.col("type_name"), w) for w in words]) if words else F.lit(True)) for g in f.genres for c, words in [f.genre_formats.get(g, (None, None))] if c]
+    if not forms:
+        return by_artist
+    classified = cat.artist_genres.filter("primary_genre <> 'UNKNOWN'").select(F.col("normalized_name").alias("_key"))
+    known = own.join(classified, "_key", "left_semi").select("event_id")
+    fits = cat.bridge.join(cat.types.filter(T.any_of(forms)), "type_id", "left_semi").select("event_id")
+    rest = cat.events.filter(F.col("sport").isNull()).select("event_id").join(known, "event_id", "left_anti").join(fits, "event_id", "left_semi")
+    return by_artist.union(rest)
+
+
 def filtered(cat: Catalog, f: CatalogFilter) -> DataFrame:
     """Events with venue, city and artist that pass every facet. Lookups are semi joins inside the plan; nothing is collected.
 
@@ -73,6 +97,8 @@ def filtered(cat: Catalog, f: CatalogFilter) -> DataFrame:
         rows = rows.filter(F.col("city_id").isin(ids) if ids else F.lit(False))
     elif f.country:
         rows = rows.filter(F.col("country").ilike(T.like_escaped(f.country, f.escape)))
+    if f.genres:
+        rows = rows.join(in_genres(cat, f), "event_id", "left_semi")
     if f.categories:
         in_category = cat.types.filter(F.col("category").isin(list(f.categories))).select("type_id")
         rows = rows.join(cat.bridge.join(in_category, "type_id", "left_semi"), "event_id", "left_semi")
@@ -118,6 +144,49 @@ def lookahead(cat: Catalog, f: CatalogFilter, years: int = 2) -> DataFrame:
     return rows.crossJoin(F.broadcast(any_in)).filter(F.col("in_window") | ~F.col("_any")).drop("_any")
 
 
+def suggest_all(cat: Catalog, term: str, as_of: dt.date, per_kind: int = 3, limit: int = 12) -> DataFrame:
+    """Completions of all kinds: artists, genres (parents, or those of matching sub-genres), teams, events, categories, types, venues.
+    If the term starts the league of a sports event's name, the leagues alone are given.
+
+    Each kind is counted by key before names are matched to it, and cut to `per_kind`; the league's answer is chosen in the plan.
+    """
+    up = cat.events.filter(F.col("start_date") >= F.lit(as_of)).select("event_id", "venue_id", "sport")
+    low = term.lower()
+    bridged = up.select("event_id").join(cat.bridge, "event_id").groupBy("type_id").agg(F.count(F.lit(1)).alias("n")).join(cat.types, "type_id")
+    games = up.join(cat.matches, "event_id")
+    parents = cat.taxonomy.withColumn("own", _word(F.col("parent_genre"), term)).withColumn("sub", _word(F.col("sub_genre"), term)).groupBy("parent_genre").agg(F.max("own").alias("own"), F.max("sub").alias("sub"))
+    any_own = parents.agg(F.max("own").alias("_any"))
+    genres = parents.crossJoin(F.broadcast(any_own)).filter("own or not _any and sub").select(F.col("parent_genre").alias("label"), F.lit(1).cast("long").alias("n"))
+    count = lambda df, c: df.filter(_word(F.col(c), term)).groupBy(F.col(c).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    total = lambda df, c: df.filter(_word(F.col(c), term)).groupBy(F.col(c).alias("label")).agg(F.sum("n").alias("n"))
+    per_venue = up.groupBy("venue_id").agg(F.count(F.lit(1)).alias("n")).join(cat.venues, "venue_id")
+    teams = games.select(F.explode(F.array("home_team", "away_team")).alias("team")).filter("team is not null")
+    kinds = [
+        ("artist", count(up.join(cat.artists, "event_id"), "artist_name")),
+        ("genre", genres),
+        ("team", count(teams, "team")),
+        ("event", count(games, "event_name")),
+        ("category", total(bridged, "category")),
+        ("type", total(bridged, "type_name")),
+        ("venue", total(per_venue, "venue_name")),
+    ]
+    rank = F.when(F.lower("label") == low, 0).when(F.lower("label").startswith(low), 1).otherwise(2)
+    out = None
+    for i, (kind, df) in enumerate(kinds):
+        top = df.withColumn("rank", rank).orderBy("rank", F.desc("n"), "label").limit(per_kind).select(F.lit(i).alias("kind_order"), F.lit(kind).alias("kind"), "label", "n", "rank")
+        out = top if out is None else out.unionByName(top)
+    label = F.trim(F.split_part("event_name", F.lit(" - "), F.lit(1)))
+    named = games.filter(F.col("sport").isNotNull() & F.contains("event_name", F.lit(" - "))).select(label.alias("label")).filter(F.lower("label").startswith(low))
+    leagues = named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").limit(limit).select(F.lit(-1).alias("kind_order"), F.lit("sport").alias("kind"), "label", "n", F.lit(0).alias("rank"))
+    any_league = leagues.agg((F.count(F.lit(1)) > 0).alias("_league"))
+    every = out.unionByName(leagues).crossJoin(F.broadcast(any_league)).filter((F.col("kind_order") < 0) == F.col("_league")).drop("_league")
+    return every.orderBy("kind_order", "rank", F.desc("n"), "label").limit(limit)
+
+
+def _word(c: Column, term: str) -> Column:
+    return F.coalesce(T.word_match(c, term), F.lit(False))
+
+
 def suggest(cat: Catalog, term: str, as_of: dt.date, per_kind: int = 3, limit: int = 12) -> DataFrame:
     """Ranked completions: artists, types, categories, venues; equal names first, then starts, then the rest."""
     up = cat.events.filter(F.col("start_date") >= F.lit(as_of))
@@ -218,3 +287,56 @@ def p07_format_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = cat.bridge.join(cat.types.filter((F.col("category") == "PROMO") & T.contains_ci(F.col("type_name"), "bolt")), "type_id", "left_semi")
     rows = cat.events.filter((F.col("start_date") >= F.lit(bind.AS_OF_DATE)) & F.col("sport").isNull())
     return rows.join(classified, "event_id", "left_anti").join(fits, "event_id", "left_semi").select("event_id", "scrape_source")
+
+
+_FORMS = {"ASIA": ("PROMO", ["bolt"]), "EUROPE": ("ECONOMY", [])}
+
+
+@BOOK.add(f"""
+, tagged AS (SELECT normalized_name FROM genres WHERE len(list_filter([primary_genre, secondary_1, secondary_2], lambda g: g IN (SELECT sub_genre FROM taxonomy WHERE parent_genre IN ('ASIA', 'EUROPE')))) > 0),
+tagged2 AS (SELECT DISTINCT normalized_name FROM genres WHERE primary_genre IN (SELECT sub_genre FROM taxonomy WHERE parent_genre IN ('ASIA', 'EUROPE')) OR secondary_1 IN (SELECT sub_genre FROM taxonomy WHERE parent_genre IN ('ASIA', 'EUROPE')))
+SELECT event_id, artist_name FROM {_FULL} WHERE {_UP} AND (lower(artist_name) IN (SELECT normalized_name FROM tagged2)
+  OR (sport IS NULL AND (artist_name IS NULL OR lower(artist_name) NOT IN (SELECT normalized_name FROM genres WHERE primary_genre <> 'UNKNOWN'))
+    AND event_id IN (SELECT event_id FROM bridge JOIN types USING (type_id) WHERE category = 'PROMO' AND type_name ILIKE '%bolt%' OR category = 'ECONOMY')))""".replace(""", tagged AS (SELECT normalized_name FROM genres WHERE len(list_filter([primary_genre, secondary_1, secondary_2], lambda g: g IN (SELECT sub_genre FROM taxonomy WHERE parent_genre IN ('ASIA', 'EUROPE')))) > 0),
+tagged2""", ", tagged2"))
+def p06_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of two parent genres, with the fallback by event type."""
+    f = CatalogFilter(bind.AS_OF_DATE, genres=("ASIA", "EUROPE"), genre_formats=_FORMS)
+    return filtered(bound(spark, sf_dir), f).select("event_id", "artist_name")
+
+
+def _suggest_sql(term: str) -> str:
+    word = lambda c: f"({c} ILIKE '{term}%' OR {c} ILIKE '% {term}%')" if len(term) >= 4 else f"({c} ILIKE '{term}' OR {c} ILIKE '{term} %' OR {c} ILIKE '% {term} %' OR {c} ILIKE '% {term}')"
+    low = term.lower()
+    return f"""
+, up AS (SELECT * FROM ev WHERE {_UP}),
+par AS (SELECT parent_genre, bool_or({word('parent_genre')}) AS own, bool_or({word('sub_genre')}) AS sub FROM taxonomy GROUP BY 1),
+k AS (SELECT 0 AS kind_order, 'artist' AS kind, artist_name AS label FROM up JOIN artists USING (event_id)
+  UNION ALL SELECT 2, 'team', home_team FROM up JOIN matches USING (event_id) UNION ALL SELECT 2, 'team', away_team FROM up JOIN matches USING (event_id)
+  UNION ALL SELECT 3, 'event', event_name FROM up JOIN matches USING (event_id)
+  UNION ALL SELECT 4, 'category', category FROM up JOIN bridge USING (event_id) JOIN types USING (type_id)
+  UNION ALL SELECT 5, 'type', type_name FROM up JOIN bridge USING (event_id) JOIN types USING (type_id)
+  UNION ALL SELECT 6, 'venue', venue_name FROM up JOIN venues USING (venue_id)),
+n AS (SELECT kind_order, kind, label, count(*)::BIGINT AS n FROM k WHERE {word('label')} GROUP BY ALL
+  UNION ALL SELECT 1, 'genre', parent_genre, 1 FROM par WHERE own OR NOT (SELECT bool_or(own) FROM par) AND sub),
+r AS (SELECT *, CASE WHEN lower(label) = '{low}' THEN 0 WHEN starts_with(lower(label), '{low}') THEN 1 ELSE 2 END AS rank FROM n),
+t AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY kind_order ORDER BY rank, n DESC, label) <= 3),
+l AS (SELECT -1 AS kind_order, 'sport' AS kind, league AS label, count(*)::BIGINT AS n, 0 AS rank FROM (SELECT trim(split_part(event_name, ' - ', 1)) AS league FROM up JOIN matches USING (event_id) WHERE sport IS NOT NULL AND contains(event_name, ' - ')) WHERE starts_with(lower(league), '{low}') GROUP BY league)
+SELECT * FROM (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM l) UNION ALL SELECT * FROM l) ORDER BY kind_order, rank, n DESC, label LIMIT 12"""
+
+
+@BOOK.add(_suggest_sql("red"))
+def q03_suggest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest_all(bound(spark, sf_dir), "red", bind.AS_OF_DATE)
+
+
+@BOOK.add(_suggest_sql("nation_1"))
+def q03_suggest_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No parent genre matches, so those of matching sub-genres are given."""
+    return suggest_all(bound(spark, sf_dir), "nation_1", bind.AS_OF_DATE)
+
+
+@BOOK.add(_suggest_sql("leag"))
+def q03_suggest_leagues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A league's prefix gives the leagues alone."""
+    return suggest_all(bound(spark, sf_dir), "leag", bind.AS_OF_DATE)

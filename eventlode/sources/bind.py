@@ -65,3 +65,31 @@ def event_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").cast("long").alias("log_id"), F.col("event_type").alias("job_name"), F.col("user_id").cast("long").alias("detail"), F.col("ts").alias("started_at"), F.col("value").cast("long").alias("events_found"))
+
+
+def genre_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cities as sub-genres of their countries: a two-level tree."""
+    return cities(spark, sf_dir).select(F.col("city_name").alias("sub_genre"), F.col("country").alias("parent_genre"))
+
+
+def artist_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the artists with one to two genres; a seventh of these is unknown."""
+    s, n = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 <> 0"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    other = n.select(F.col("n_nationkey").alias("o_key"), F.col("n_name").alias("o_name"))
+    both = s.join(n, s.s_nationkey == n.n_nationkey).join(other, F.expr("o_key = (s_nationkey + 7) % 25"), "left")
+    return both.select(
+        F.lower("s_name").alias("normalized_name"),
+        F.when(F.col("s_suppkey") % 7 == 0, "UNKNOWN").otherwise(F.col("n_name")).alias("primary_genre"),
+        F.when((F.col("s_suppkey") % 2 == 0) & (F.col("s_suppkey") % 7 != 0), F.col("o_name")).alias("secondary_1"),
+        F.lit(None).cast("string").alias("secondary_2"),
+    )
+
+
+def match_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, event_name, home_team, away_team: "League - Home vs Away" for sports rows, the first type's name for others."""
+    types = event_types(spark, sf_dir)
+    first = event_event_types(spark, sf_dir).groupBy("event_id").agg(F.min("type_id").alias("type_id")).join(types, "type_id").select("event_id", "type_name")
+    ev = catalog_events(spark, sf_dir).join(venues(spark, sf_dir).select("venue_id", "city_id"), "venue_id").join(cities(spark, sf_dir), "city_id").join(first, "event_id", "left")
+    sports = F.col("sport").isNotNull()
+    home, away = F.concat(F.col("city_name"), F.lit(" Reds")), F.concat(F.col("country"), F.lit(" Blues"))
+    return ev.select("event_id", F.when(sports, F.concat(F.lit("League "), (F.col("event_id") % 3).cast("string"), F.lit(" - "), home, F.lit(" vs "), away)).otherwise(F.col("type_name")).alias("event_name"), F.when(sports, home).alias("home_team"), F.when(sports, away).alias("away_team"))

@@ -13,7 +13,9 @@ from pyspark.sql.types import StringType, StructType
 
 LD_BLOCK = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
 #: Schema.org types that count as events.
-EVENT_TYPES = ["Event", "MusicEvent", "TheaterEvent", "SportsEvent", "Festival", "ComedyEvent", "DanceEvent", "ExhibitionEvent", "EducationEvent", "BusinessEvent", "ChildrensEvent", "FoodEvent", "LiteraryEvent", "ScreeningEvent", "SocialEvent", "VisualArtsEvent", "SaleEvent", "PublicationEvent"]
+EVENT_TYPES = [
+    "Event", "BusinessEvent", "ChildrensEvent", "ComedyEvent", "DanceEvent", "EducationEvent", "EventSeries", "ExhibitionEvent", "Festival", "FoodEvent", "Hackathon", "LiteraryEvent", "MusicEvent", "ScreeningEvent", "SocialEvent", "SportsEvent", "TheaterEvent", "VisualArtsEvent",
+]
 
 
 @udtf(returnType=StructType().add("event_json", "string").add("event_type", "string").add("name", "string").add("start_date", "string"))
@@ -30,10 +32,12 @@ class FlattenLd:
             if isinstance(x, list):
                 todo = x + todo
             elif isinstance(x, dict):
-                if "@graph" in x:
-                    todo.insert(0, x["@graph"])
+                if isinstance(x.get("@graph"), list):  # a wrapper gives its parts, not itself
+                    todo = x["@graph"] + todo
+                    continue
                 if isinstance(x.get("itemListElement"), list):
                     todo = [i.get("item", i) if isinstance(i, dict) else i for i in x["itemListElement"]] + todo
+                    continue
                 kind = x.get("@type")
                 if isinstance(kind, str):
                     text = lambda k: x[k] if isinstance(x.get(k), str) else None
