@@ -4,7 +4,8 @@ Vectors are lengthened by sqrt(M**2 - |x|**2), M the largest norm, which makes t
 the smallest angle; queries get a zero. Trees are fitted on a bounded sample: each node splits its sample rows
 at the median of their projections on a random direction through two of them. Every row of the table is
 then routed to its leaf in each tree. A query takes leaves from all trees through one priority queue, nearest
-margin first, until it has `leaves` of them. Queries meet the rows of their leaves in a join by (tree, leaf);
+cell first, until it has `leaves` of them; their number is set by measuring (calibrated), so that recall does not hang on how the
+vectors lie. Queries meet the rows of their leaves in a join by (tree, leaf);
 a leaf's rows are dealt out in blocks of bounded size, and each block answers with its best rows only,
 by exact inner products in double precision. The best of a query's blocks are its result.
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from eventlode.llm.common import cut
 
-K, TREES, SAMPLE, LEAF, LEAVES, BLOCK, SEED = 20, 12, 40_000, 160, 220, 4_000, 7
+K, TREES, SAMPLE, LEAF, BLOCK, SEED = 20, 4, 40_000, 160, 4_000, 7
+#: Vectors that the number of leaves is set by, and the share of their true neighbours that is to be found.
+PROBES, RECALL = 64, 0.95
 
 
 @dataclass
@@ -91,7 +94,7 @@ def route(tree: Tree, x: np.ndarray) -> np.ndarray:
 
 
 def nearest_leaves(forest: list[Tree], q: np.ndarray, many: int) -> list[tuple[int, int]]:
-    """(tree, leaf) pairs in order of margin, from one queue over all trees."""
+    """(tree, leaf) pairs in order of their cells' squared distance (at least the sum over the splits on the other side), from one queue over all trees."""
     queue = [(0.0, t, 0) for t in range(len(forest))]
     found: list[tuple[int, int]] = []
     while queue and len(found) < many:
@@ -101,7 +104,7 @@ def nearest_leaves(forest: list[Tree], q: np.ndarray, many: int) -> list[tuple[i
             d = float(tree.directions[node] @ q) - float(tree.cuts[node])
             near, far = (tree.right[node], tree.left[node]) if d > 0 else (tree.left[node], tree.right[node])
             if near != far:
-                heapq.heappush(queue, (max(margin, abs(d)), t, int(far)))
+                heapq.heappush(queue, (margin + d * d, t, int(far)))
             node = int(near)
         found.append((t, ~node))
     return found
@@ -128,11 +131,11 @@ def _place(shared, norm: float):
     return run
 
 
-def _ask(shared, leaves: int):
+def _ask(shared, norm: float, leaves: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = np.hstack([_matrix(batch.column(1)), np.zeros((batch.num_rows, 1))]) if batch.num_rows else []
-            places = [(i, t, leaf) for i, row in enumerate(q) for t, leaf in nearest_leaves(shared.value, row / np.linalg.norm(row), leaves)]
+            places = [(i, t, leaf) for i, row in enumerate(q) for t, leaf in nearest_leaves(shared.value, row * (norm / np.linalg.norm(row)), leaves)]
             if places:
                 i, t, leaf = (np.asarray(c, np.int64) for c in zip(*places, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(leaf), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], names=["tree", "leaf", "q", "vec"])
@@ -160,6 +163,52 @@ def _best(k: int):
     return run
 
 
+def _true(shared, k: int):
+    """The k nearest rows of each probe within a task, by brute force."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best_s, best_v = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column(0).to_numpy()
+                s = np.where(ids[:, None] == v[None, :], -np.inf, q @ _matrix(batch.column(1)).T)
+                s, v = np.hstack([best_s, s]), np.hstack([best_v, np.broadcast_to(v, (len(q), len(v)))])
+                at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best_s, best_v = np.take_along_axis(s, at, 1), np.take_along_axis(v, at, 1)
+        i, j = np.nonzero(best_v >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(best_v[i, j]), pa.array(best_s[i, j])], names=["p", "v", "s"])
+
+    return run
+
+
+def calibrated(reps: DataFrame, forest: list[Tree], norm: float, k: int, probes: int, recall: float, seed: int) -> tuple[int, float]:
+    """How many leaves a query must visit: the fewest that find `recall` of the true neighbours of the probes, which are
+    `probes` rows by hash; and the recall. The truth comes from one pass over all rows against the probes; what reaches the
+    driver are probes and their neighbours. Vectors in clusters need few leaves, random ones most."""
+    spark = reps.sparkSession
+    rows = reps.orderBy(F.xxhash64("v", F.lit(seed + 1)), "v").limit(probes).collect()
+    ids, q = np.asarray([r["v"] for r in rows], np.int64), np.asarray([r["vec"] for r in rows], np.float64)
+    shared = spark.sparkContext.broadcast((ids, q))
+    order = Window.partitionBy("p").orderBy(F.desc("s"), "v")
+    true = reps.select("v", "vec").mapInArrow(_true(shared, k), "p int, v long, s double").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    found = true.join(reps, "v").select("p", "vec").collect()  # probes * k rows
+    leaves = sum(int(max(-min(t.left), -min(t.right))) for t in forest)
+    if not found:
+        return leaves, 1.0
+    x = np.asarray([r["vec"] for r in found], np.float64)
+    x = np.hstack([x, np.sqrt(np.maximum(norm**2 - (x**2).sum(1), 0))[:, None]])
+    at = np.stack([route(t, x) for t in forest], axis=1)
+    owner = np.asarray([r["p"] for r in found])
+    rank = np.zeros(len(found), np.int64)
+    for p in np.unique(owner):
+        places = {pair: i for i, pair in enumerate(nearest_leaves(forest, np.append(q[p] / np.linalg.norm(q[p]), 0.0) * norm, leaves))}
+        for i in np.flatnonzero(owner == p):
+            rank[i] = min(places[t, int(leaf)] for t, leaf in enumerate(at[i]))
+    need = int(np.sort(rank)[max(0, int(np.ceil(recall * len(rank))) - 1)]) + 1
+    return need, float((rank < need).mean())
+
+
 def _usable(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     """id, vec (array of doubles) of the rows that take part; lengths other than the commonest are left out."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).filter("id is not null and vec is not null and size(vec) > 0")
@@ -167,7 +216,7 @@ def _usable(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return good
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", every: int = 20, k: int = K, trees: int = TREES, sample_rows: int = SAMPLE, leaf_rows: int = LEAF, leaves: int = LEAVES, block_rows: int = BLOCK, seed: int = SEED) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", every: int = 20, k: int = K, trees: int = TREES, sample_rows: int = SAMPLE, leaf_rows: int = LEAF, leaves: int | None = None, block_rows: int = BLOCK, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows found."""
     spark = df.sparkSession
     usable = _usable(df, id_col, vec)
@@ -188,10 +237,13 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", every
     rng = np.random.default_rng(seed)
     x = np.asarray([r["vec"] for r in drawn.toLocalIterator()], np.float64).reshape(-1, most["d"])  # bounded by sample_rows
     x = np.hstack([x, np.sqrt(np.maximum(norm**2 - (x**2).sum(1), 0))[:, None]])
-    shared = spark.sparkContext.broadcast([grow(x, leaf_rows, rng) for _ in range(trees)])
+    forest = [grow(x, leaf_rows, rng) for _ in range(trees)]
+    if leaves is None:
+        leaves, _ = calibrated(reps, forest, norm, k, PROBES, RECALL, seed)
+    shared = spark.sparkContext.broadcast(forest)
     rows = cut(reps.select("v", "vec").mapInArrow(_place(shared, norm), "tree int, leaf long, v long, vec array<double>"))
     asked = reps.join(queries.select(F.col("q").alias("v")).distinct(), "v").select(F.col("v").alias("q"), "vec")
-    asks = asked.mapInArrow(_ask(shared, leaves), "tree int, leaf long, q long, vec array<double>")
+    asks = asked.mapInArrow(_ask(shared, norm, leaves), "tree int, leaf long, q long, vec array<double>")
     # leaves in blocks: rows go to one block, queries to all blocks of the leaf
     blocks = rows.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     asks = asks.join(blocks, ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tree", "leaf", "block", "q", "vec")

@@ -5,13 +5,13 @@ in shards of bounded size that lie in the shared folder and are memory-mapped by
 
 * words: their 64-bit hashes as an Elias-Fano sequence, exact counts in bytes (larger ones apart), and the
   back-off weight of each word as a context in one byte;
-* pairs seen twice or more: per context a monotone pointer to its successors, the successors' numbers made
+* pairs, all of them: per context a monotone pointer to its successors, the successors' numbers made
   monotone by adding the last number of the context before, and one byte for the smoothed probability.
 
 A pair is found by its context's pointers and a successor search from the context's own base. Probabilities
-are interpolated with absolute discounting: pairs seen once give their whole count to the
-back-off weight, which hands it to the add-one word probability. Bytes index a shard's own codebook of
-quantiles. A text's end is a token; the end of "the text before" is the context of its first word.
+are interpolated with absolute discounting: each pair gives the discount to the back-off weight of its context, which
+hands it to the add-one word probability. Bytes index a shard's own codebook of
+even steps. A text's end is a token; the end of "the text before" is the context of its first word.
 
 Counts are grouped with map-side combine, so frequent words and pairs do not gather in one task; shards are
 dealt by ranges of equal size, and one context may reach over several shards.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlode.llm.common import crc_mod, cut, new_shared_path
+from eventlode.llm.common import crc_mod, cut, new_shared_path, sliced, stored
 from eventlode.llm.eliasfano import EliasFano, load, save
 from eventlode.llm.hashing import LOWER, stepped, word_hashes
 
@@ -67,7 +67,7 @@ def _counted(keys_of):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, held, counts, size = keys_of(), [], [], 0
-        for batch in batches:
+        for batch in sliced(batches, STEP):
             raw = _raw(batch.column(0))
             for lo, hi in stepped(raw, STEP):
                 k, n = np.unique(find(raw[lo:hi]), return_counts=True)
@@ -193,11 +193,10 @@ def _pair_keys(path: str, words: list):
 
 
 def quantised(values: np.ndarray) -> dict[str, np.ndarray]:
-    """One byte per value, and the codebook: the means of 256 quantile ranges."""
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, 257)[1:-1])) if len(values) else np.empty(0)
-    code = np.searchsorted(edges, values, side="right").astype(np.uint8)
-    n = np.bincount(code, minlength=256)
-    return {"code": code, "book": np.bincount(code, values, minlength=256) / np.maximum(n, 1)}
+    """One byte per value, and the codebook: 256 even steps from the least to the largest, so no value is off by more than half a step."""
+    low, high = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
+    step = (high - low) / 255 or 1.0
+    return {"code": np.rint((values - low) / step).astype(np.uint8), "book": low + step * np.arange(256)}
 
 
 def _save_words(path: str):
@@ -218,7 +217,7 @@ def _save_backoff(path: str, words: list, discount: float):
         vocabulary = _kept(path, lambda: Vocabulary(path, words))
         block = int(rows["block"].iloc[0])
         at = rows["context"].to_numpy()
-        weight = (rows["ones"].to_numpy() + discount * rows["more"].to_numpy()) / vocabulary.counts(at)
+        weight = discount * rows["kinds"].to_numpy() / vocabulary.counts(at)
         full = np.zeros(SHARD_WORDS)
         full[at - block * SHARD_WORDS] = np.log10(np.minimum(weight, 1.0))
         save(f"{path}/backoff-{block}", quantised(full))
@@ -281,14 +280,13 @@ def train(texts: DataFrame, folder: str | None = None) -> dict:
     for r in sorted(parts.collect(), key=lambda r: r["shard"]):
         model["words"].append((r["shard"], first, r["least"] % (1 << 64)))
         first += r["n_words"]
-    pairs = cut(texts.mapInArrow(_counted(_pair_keys(path, model["words"])), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).groupBy(F.shiftrightunsigned("key", 32).alias("context"), F.when(F.col("n") > 1, F.col("key")).alias("key")).agg(F.sum("n").alias("n")))
-    twice = F.col("key").isNotNull()
-    c = pairs.agg(F.coalesce(F.sum(F.when(~twice, F.col("n"))), F.lit(0)).alias("n1"), F.count(F.when(F.col("n") == 2, F.col("key"))).alias("n2"), F.count("key").alias("kept")).first()
+    pairs = stored(texts.mapInArrow(_counted(_pair_keys(path, model["words"])), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    c = pairs.agg(F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2"), F.count(F.lit(1)).alias("kept")).first()
     discount = min(0.9, max(0.3, c["n1"] / max(1, c["n1"] + 2 * c["n2"])))
-    per_context = pairs.groupBy("context").agg(F.coalesce(F.sum(F.when(~twice, F.col("n"))), F.lit(0)).alias("ones"), F.count("key").alias("more")).withColumn("block", F.floor(F.col("context") / SHARD_WORDS))
+    per_context = pairs.groupBy(F.shiftrightunsigned("key", 32).alias("context")).agg(F.count(F.lit(1)).alias("kinds")).withColumn("block", F.floor(F.col("context") / SHARD_WORDS))
     model["backoff"] = sorted(r["block"] for r in per_context.groupBy("block").applyInPandas(_save_backoff(path, model["words"], discount), "block long").collect())
     ranges = max(1, -(-c["kept"] // SHARD_PAIRS))
-    kept = pairs.filter(twice).select("key", "n").repartitionByRange(ranges, "key").mapInArrow(_save_pairs(path, model["words"], discount, total, kinds), "shard long, first long, n long")
+    kept = pairs.repartitionByRange(ranges, "key").mapInArrow(_save_pairs(path, model["words"], discount, total, kinds), "shard long, first long, n long")
     model["pairs"] = sorted(((r["shard"], r["first"] % (1 << 64)) for r in kept.collect()), key=lambda x: x[1])
     return model
 
@@ -297,7 +295,7 @@ def _score(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _kept(model["path"] + "/", lambda: Trie(model["path"], model["words"], model["backoff"], model["pairs"])) if model["kinds"] else None
         whole = np.log10(model["total"] + model["kinds"] + 1)
-        for batch in batches:
+        for batch in sliced(batches, STEP):
             raw = _raw(batch.column(2))
             for lo, hi in stepped(raw, STEP):
                 h, n = tokens(raw[lo:hi])

@@ -97,3 +97,19 @@ def test_kept_only_is_the_same_verdict(spark, docs, sf):
 @pytest.mark.parametrize("text", [None, "", "short"])
 def test_quality_rejects_what_is_short(docs, text):
     assert not quality.quality(docs([(1, text)]), keep=["doc_id"]).first().kept
+
+
+def test_given_targets_are_kept_exactly(docs):
+    assert mixing.whole_weights({"a": 0.7, "b": 0.2999, "c": 0.0001}) == {"a": 7000, "b": 2999, "c": 1}
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": 1, "b": 1e-7})
+    rows = [(i, "t", "en", ("a", "b", "c", "d")[min(i % 10, 3) if i % 10 < 4 else 0]) for i in range(600)]
+    out = mixing.mix(docs(rows), targets={"a": 0.5, "b": 0.3, "c": 0.2}, block_rows=4).toPandas()
+    assert len(out) == 600
+    named = out[out.source != "d"]
+    assert out[out.source == "d"].slot.min() > named.slot.max()
+    first = named[named.slot < 50].groupby("slot").source.first()
+    for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+        seen = (first == s).cumsum()
+        full = named[named.source == s].slot.max()
+        assert all(abs(n - w * (t + 1)) < 1 for t, n in seen.items() if t < full)

@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from eventlode.llm import ann, warc
@@ -31,6 +32,22 @@ def test_neighbours_are_found(spark):
     assert hits >= 0.9 * 20 * 75 and set(out.query_id) == set(range(0, 1500, 20))
 
 
+def test_vectors_in_clusters_need_few_leaves(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 24)) * 3
+    x = (centres[rng.integers(0, 60, 4000)] + rng.standard_normal((4000, 24)) * 0.3).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, [float(f) for f in v], 0, "z") for i, v in enumerate(x)], VEC)
+    forest = [ann.grow(np.hstack([x.astype(float), np.zeros((4000, 1))]), 40, np.random.default_rng(t)) for t in range(4)]
+    total = sum(int(max(-min(t.left), -min(t.right))) for t in forest)
+    need, recall = ann.calibrated(rows.select(ann.F.col("vec_id").alias("v"), ann.F.col("embedding").cast("array<double>").alias("vec")), forest, 1.0, 20, 64, 0.95, 7)
+    assert need < 0.1 * total and recall >= 0.95  # most leaves stay unvisited
+    out = ann.nearest(rows, leaf_rows=40).toPandas()
+    s = x.astype(float) @ x.astype(float).T
+    found = sum(len((set(np.lexsort((np.arange(4000), -s[q]))[:21].tolist()) - {q}) & set(g.vec_id)) for q, g in out.groupby("query_id"))
+    assert out.query_id.nunique() == 200 and found >= 0.9 * 20 * 200
+
+
 def test_neighbours_of_few(spark):
     out = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (1, [0.0, 1.0], 0, ""), (20, [1.0, 0.0], 0, "")], VEC)).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == [(0, 1, 20, 1.0), (0, 2, 1, 0.0), (20, 1, 0, 1.0), (20, 2, 1, 0.0)]
@@ -55,6 +72,33 @@ def test_archives_come_back(spark, tmp_path):
     assert empty.count() == 0 and warc.read_warc(empty).count() == 0
 
 
+def test_an_id_with_several_payloads(spark, tmp_path):
+    a, b = "a" * 2000, "b" * 1500
+    pages = spark.createDataFrame([(5, "u", a, "x"), (5, "u", b, "x"), (9, "u", a, "x"), (9, "u", "small", "x"), (9, "u", a, "x"), (7, "u", b, "x")], "page_id long, url string, html string, sha1 string")
+    got = sorted(tuple(r) for r in warc.page_digests(warc.read_warc(warc.write_warc(pages, str(tmp_path / "w")))).collect())
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(5, 2000, sha(a), "revisit", 9), (5, 1500, sha(b), "revisit", 7), (7, 1500, sha(b), "response", None), (9, 5, sha("small"), "response", None)] + [(9, 2000, sha(a), "response", None)] * 2
+    assert got == sorted(want)
+
+
+ODD = [(1, None, "en", "a"), (2, "", "en", "a"), (None, "no id here", None, None), (3, "w " * 30_000, "en", "b"), (4, "one two three four five six seven", None, None), (4, "one two three four five six seven", None, None), (5, "\x00 \ud7ff é " * 30, "fr", "")]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_bear_odd_rows(spark, sf, docs, stage):
+    odd = docs(ODD)  # with columns whose names may clash
+    out = stage(spark, odd, sf)
+    ids = [r.doc_id for r in out.collect()]
+    assert set(ids) <= {1, 2, 3, 4, 5, None}
+    if stage is not corpus_pipeline.packing_stage:
+        assert out.columns == corpus_pipeline.COLUMNS
+    if stage is corpus_pipeline.mixing_stage:
+        assert len(ids) == len(ODD)
+    if stage is corpus_pipeline.near_duplicate_stage:
+        assert len(ids) == len(ODD)  # of rows that repeat an id all stay or go
+    assert stage(spark, odd.filter("doc_id > 99"), sf).count() == 0
+
+
 def test_pipeline_applies_its_stages_in_turn(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before = docs.columns, docs.count()
