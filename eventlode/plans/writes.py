@@ -260,14 +260,14 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(f"""{_WIDE.rstrip()}
 , own AS (SELECT event_id, string_agg(category, ', ' ORDER BY type_id, category) AS category, string_agg(type_name, ', ' ORDER BY type_id, type_name) AS type_name FROM bridge JOIN types USING (type_id) GROUP BY 1)
-SELECT coalesce(name, '') AS "Event", coalesce(artist_name, '') AS "Artist", start_date::VARCHAR AS "Date", coalesce(start_time, '') AS "Start Time", '' AS "End Time", coalesce(venue_name, '') AS "Venue", coalesce(city_name, '') AS "City", coalesce(country, '') AS "Country", price::BIGINT::VARCHAR AS "Price", 'USD' AS "Currency",
+SELECT coalesce(name, '') AS "Event", coalesce(artist_name, '') AS "Artist", start_date::VARCHAR AS "Date", coalesce(start_time, '') AS "Start Time", '' AS "End Time", coalesce(venue_name, '') AS "Venue", coalesce(city_name, '') AS "City", coalesce(country, '') AS "Country", floor(price)::BIGINT::VARCHAR AS "Price", 'USD' AS "Currency",
  coalesce(category, '') AS "Category", coalesce(type_name, '') AS "Format", coalesce(primary_genre, '') AS "Genre", coalesce(website_url, '') AS "Link", '' AS "YouTube"
 FROM wide LEFT JOIN venues USING (venue_id) LEFT JOIN cities USING (city_id) LEFT JOIN own USING (event_id) LEFT JOIN (SELECT * FROM genres WHERE primary_genre <> 'UNKNOWN') g ON normalized_name = lower(artist_name) WHERE {_UP}""")
 def k01_full_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fifteen columns of the event file; whole prices, so that engines write numbers alike."""
     rows = _typed(spark, sf_dir).select(
         F.col("name").alias("Event"), F.col("artist_name").alias("Artist"), F.col("start_date").alias("Date"), F.col("start_time").alias("Start Time"), F.lit(None).alias("End Time"), F.col("venue_name").alias("Venue"), F.col("city_name").alias("City"), F.col("country").alias("Country"),
-        F.round("price").cast("long").alias("Price"), F.lit("USD").alias("Currency"), F.col("category").alias("Category"), F.col("type_name").alias("Format"), F.col("primary_genre").alias("Genre"), F.col("website_url").alias("Link"), F.lit(None).alias("YouTube"),
+        F.floor("price").alias("Price"), F.lit("USD").alias("Currency"), F.col("category").alias("Category"), F.col("type_name").alias("Format"), F.col("primary_genre").alias("Genre"), F.col("website_url").alias("Link"), F.lit(None).alias("YouTube"),
     )
     return export.csv_columns(rows, _CSV)
 
@@ -307,11 +307,11 @@ def k03_calendar_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(f"""{_WIDE.rstrip()}
 , own AS (SELECT event_id, string_agg(category, ', ' ORDER BY type_id, category) AS category FROM bridge JOIN types USING (type_id) GROUP BY 1)
-SELECT event_id, concat_ws('|', coalesce(name, ''), coalesce(artist_name, ''), start_date::VARCHAR, coalesce(start_time, ''), '', '', coalesce(venue_name, ''), coalesce(city_name, ''), CASE WHEN price <> 0 THEN price::BIGINT::VARCHAR ELSE '' END, 'USD', coalesce(website_url, ''), coalesce(category, ''), scrape_source) AS sheet_row
+SELECT event_id, concat_ws('|', coalesce(name, ''), coalesce(artist_name, ''), start_date::VARCHAR, coalesce(start_time, ''), '', '', coalesce(venue_name, ''), coalesce(city_name, ''), CASE WHEN price <> 0 THEN floor(price)::BIGINT::VARCHAR ELSE '' END, 'USD', coalesce(website_url, ''), coalesce(category, ''), scrape_source) AS sheet_row
 FROM wide LEFT JOIN venues USING (venue_id) LEFT JOIN cities USING (city_id) LEFT JOIN own USING (event_id) WHERE {_UP}""")
 def k04_sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thirteen columns of a spreadsheet row, joined by bars."""
-    cells = [F.col("name"), F.col("artist_name"), F.col("start_date").cast("string"), F.col("start_time"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("venue_name"), F.col("city_name"), F.when(F.col("price") != 0, F.round("price").cast("long").cast("string")), F.lit("USD"), F.col("website_url"), F.col("category"), F.col("scrape_source")]
+    cells = [F.col("name"), F.col("artist_name"), F.col("start_date").cast("string"), F.col("start_time"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("venue_name"), F.col("city_name"), F.when(F.col("price") != 0, F.floor("price").cast("string")), F.lit("USD"), F.col("website_url"), F.col("category"), F.col("scrape_source")]
     return _typed(spark, sf_dir).select("event_id", F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in cells]).alias("sheet_row"))
 
 
