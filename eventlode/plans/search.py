@@ -76,8 +76,13 @@ def in_genres(cat: Catalog, f: CatalogFilter) -> DataFrame:
     return by_artist.union(rest)
 
 
-def filtered(cat: Catalog, f: CatalogFilter) -> DataFrame:
+def placed(cat: Catalog, rows: DataFrame) -> DataFrame:
+    return rows.join(cat.venues, "venue_id", "left").join(cat.cities, "city_id", "left")
+
+
+def filtered(cat: Catalog, f: CatalogFilter, complete: bool = True) -> DataFrame:
     """Events with venue, city and artist that pass every facet. Lookups are semi joins inside the plan; nothing is collected.
+    complete=False joins only the tables that a facet asks for.
 
     Date and source filters reach the scan. Terms of type_terms are AND-ed: each must match a type, a category, the
     artist or the venue. City ids that aren't numbers are dropped; with only such ids nothing matches.
@@ -89,7 +94,11 @@ def filtered(cat: Catalog, f: CatalogFilter) -> DataFrame:
         window &= F.col("start_date") <= F.lit(f.end)
     if f.sources:
         window &= F.col("scrape_source").isin(list(f.sources))
-    rows = cat.events.filter(window).join(cat.venues, "venue_id", "left").join(cat.cities, "city_id", "left").join(cat.artists, "event_id", "left")
+    rows, words = cat.events.filter(window), bool(f.type_terms or f.search)
+    if complete or words or f.city_ids or f.country:
+        rows = placed(cat, rows)
+    if complete or words or f.artists:
+        rows = rows.join(cat.artists, "event_id", "left")
     if f.artists:
         rows = rows.filter(F.lower("artist_name").isin([a.lower() for a in f.artists]))
     if f.city_ids:
@@ -127,13 +136,16 @@ def with_types(cat: Catalog, rows: DataFrame) -> DataFrame:
 
 
 def search_events(cat: Catalog, f: CatalogFilter, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page, by date and id; only the page's rows get their types."""
-    page = filtered(cat, f).select("event_id", "start_date", "venue_name", "city_name", "country", "artist_name", "scrape_source", "sport").orderBy(F.asc_nulls_first("start_date"), "event_id").offset(offset).limit(min(limit, 500))
-    return with_types(cat, page)
+    """A page, by date, time and id; only the page's rows get their venues, artists and types."""
+    own = ["event_id", "venue_id", "start_date", *(["start_time"] if "start_time" in cat.events.columns else []), "scrape_source", "sport"]
+    order = [F.asc_nulls_first(c) for c in own if c.startswith("start_")]
+    page = filtered(cat, f, complete=False).select(*own).orderBy(*order, "event_id").offset(offset).limit(min(limit, 500))
+    full = placed(cat, page).join(cat.artists, "event_id", "left").select("event_id", "start_date", "venue_name", "city_name", "country", "artist_name", "scrape_source", "sport")
+    return with_types(cat, full)
 
 
 def count_events(cat: Catalog, f: CatalogFilter) -> DataFrame:
-    return filtered(cat, f).agg(F.countDistinct("event_id").alias("n_events"))
+    return filtered(cat, f, complete=False).agg(F.countDistinct("event_id").alias("n_events"))
 
 
 def lookahead(cat: Catalog, f: CatalogFilter, years: int = 2) -> DataFrame:
