@@ -184,7 +184,7 @@ def _verify(least: float):
 def _members(keys: DataFrame) -> DataFrame:
     """keys: k1, k2 (the bucket), id, n (its shingles). Those of shared buckets, with the document's weight: all it meets in its buckets."""
     size = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = cut(keys.join(size, ["k1", "k2"]))
+    shared = keys.join(size, ["k1", "k2"])
     return cut(shared.join(shared.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k1", "k2", "id", "n", "weight"))
 
 
@@ -206,7 +206,7 @@ def _stars(m: DataFrame, lead: DataFrame, least: float) -> DataFrame:
 
 def _mixed(m: DataFrame, classes: DataFrame) -> DataFrame:
     """id, n, c: the documents of buckets of several classes, with their class."""
-    own = cut(m.join(classes, "id", "left").withColumn("c", F.coalesce("class_id", "id")).select("k1", "k2", "id", "n", "c"))
+    own = m.join(classes, "id", "left").withColumn("c", F.coalesce("class_id", "id")).select("k1", "k2", "id", "n", "c")
     several = own.groupBy("k1", "k2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k1", "k2")
     return cut(own.join(several, ["k1", "k2"]).select("id", "n", "c").distinct())
 
@@ -220,7 +220,7 @@ def _rare_pairs(docs: DataFrame, rest: DataFrame, least: float) -> DataFrame:
     rare = stored(texts.mapInArrow(_rarest(docs.sparkSession.sparkContext.broadcast(total), least), "k long, c long, id long, n long, p long, shorter boolean"), "rare")
     groups = rare.groupBy("k", "c").agg(F.max("shorter").alias("shorter"))
     several = groups.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k")
-    groups = cut(groups.join(several, "k"))
+    groups = groups.join(several, "k")
     kinds = groups.filter("shorter").select("k", "c").join(groups.select("k", F.col("c").alias("cb")), "k").filter("c <> cb")
     one = rare.filter("shorter").select("k", "c", F.col("id").alias("a"), "n", "p")
     other = rare.select("k", F.col("c").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
