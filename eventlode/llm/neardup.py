@@ -218,15 +218,18 @@ def _rare_pairs(docs: DataFrame, rest: DataFrame, least: float) -> DataFrame:
     found, total = counts.toArrow(), np.zeros(BINS, np.int64)  # BINS rows at most
     total[found["bin"].to_numpy()] = found["n"].to_numpy()
     rare = stored(texts.mapInArrow(_rarest(docs.sparkSession.sparkContext.broadcast(total), least), "k long, c long, id long, n long, p long, shorter boolean"), "rare")
-    groups = rare.groupBy("k", "c").agg(F.max("shorter").alias("shorter"))
-    several = groups.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k")
-    groups = groups.join(several, "k")
-    kinds = groups.filter("shorter").select("k", "c").join(groups.select("k", F.col("c").alias("cb")), "k").filter("c <> cb")
-    one = rare.filter("shorter").select("k", "c", F.col("id").alias("a"), "n", "p")
+    several = rare.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k")
+    shorter = rare.filter("shorter")
+    groups = shorter.groupBy("k", "c").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n")).join(several, "k")
+    one = shorter.select("k", "c", F.col("id").alias("a"), "n", "p")
     other = rare.select("k", F.col("c").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     # the first shingle that two texts share leaves room for all that they must share; any later one leaves less
-    room = F.least(F.col("n") - F.col("p"), F.col("nb") - F.col("pb")) >= F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("nb")) - F.lit(1e-6))
-    met = kinds.join(one, ["k", "c"]).join(other, ["k", "cb"]).filter("n < nb or n = nb and a < b").filter(_fits(least)).filter(room)
+    must = least / (1 + least)
+    room = F.least(F.col("n") - F.col("p"), F.col("nb") - F.col("pb")) >= F.ceil(F.lit(must) * (F.col("n") + F.col("nb")) - F.lit(1e-6))
+    # so a longer text bounds the length of the shorter one, and classes without such a member are not met at all
+    bound = F.least(F.col("nb"), F.floor((F.col("nb") - F.col("pb") + F.lit(1e-6)) / F.lit(must)) - F.col("nb"))
+    near = groups.join(other, "k").filter((F.col("c") != F.col("cb")) & (F.col("least_n") <= bound) & (F.col("most_n") >= F.lit(least) * F.col("nb") - F.lit(1e-6)))
+    met = near.select("k", "c", "b", "nb", "pb").join(one, ["k", "c"]).filter("n < nb or n = nb and a < b").filter(_fits(least)).filter(room)
     return met.select("a", "b").distinct()
 
 
