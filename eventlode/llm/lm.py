@@ -36,7 +36,7 @@ from eventlode.llm.hashing import LOWER, stepped, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Words of a shard of the first level, pairs of one of the second, bytes of text hashed at once, keys held before they are counted.
-SHARD_WORDS, SHARD_PAIRS, STEP, HELD = 1 << 19, 1 << 21, 1 << 22, 1 << 22
+SHARD_WORDS, SHARD_PAIRS, STEP, HELD = 1 << 19, 1 << 21, 1 << 22, 1 << 21
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
