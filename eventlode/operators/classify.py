@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlode.functions import names
 from eventlode.functions import rule_tables as R
 from eventlode.functions import text as T
+from eventlode.operators.similarity import may_reach, seq_ratio
 
 Keywords = list[tuple[str, list[str]]]
 
@@ -261,3 +263,19 @@ def first_of_each(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; the others come back with the reason, for the audit."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).withColumn("kept", F.col("_r") == 1).withColumn("reason", F.when(~F.col("kept"), "duplicate in file")).drop("_r")
+
+
+def cleaned_artists(events: DataFrame, venue_names: DataFrame, least: float = 0.85) -> DataFrame:
+    """event_id, artist_name, reason: what a clean-up makes of artists. An artist that equals or resembles the event's name, is over
+    120 characters, is a venue's name or a promoter goes; of several the first stays. Rows without an artist are left out.
+
+    Only artists of nearly the name's length go through Python."""
+    artist, name = F.trim("artist_name"), F.lower(F.trim("name"))
+    known = venue_names.select(F.lower("venue_name").alias("_v")).distinct()
+    rows = events.filter(artist != "").withColumn("_a", artist).withColumn("_l", F.lower("_a")).join(known, F.col("_l") == F.col("_v"), "left")
+    like = F.when(may_reach(F.col("_l"), name, least), seq_ratio(F.col("_l"), name) > least).otherwise(F.lit(False))
+    first = names.first_artist(F.col("_a"))
+    one = F.coalesce((first != F.col("_a")) & (F.length(first) >= 2) & ~names.is_promoter(first), F.lit(False))
+    reason = F.when(F.col("_l") == name, "exact_match_event_name").when(like, "fuzzy_match_event_name").when(F.length("_a") > 120, "too_long").when(F.col("_v").isNotNull(), "matches_venue_name").when(names.is_promoter(F.col("_a")), "junk_keyword").when(one, "kept_first_of_multi")
+    judged = rows.select("event_id", "_a", first.alias("_f"), reason.alias("reason"))
+    return judged.select("event_id", F.when(F.col("reason").isNull(), F.col("_a")).when(F.col("reason") == "kept_first_of_multi", F.col("_f")).alias("artist_name"), "reason")

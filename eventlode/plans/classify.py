@@ -288,3 +288,16 @@ SELECT event_id, category, row_number() OVER (PARTITION BY category, venue_city
 def w06_first_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of a category in a city is kept, the rest go to the audit."""
     return classify.first_of_each(acts(spark, sf_dir), ["category", "venue_city"], ["event_id"]).select("event_id", "category", "kept")
+
+
+@BOOK.add("""
+SELECT o_orderkey::BIGINT AS event_id, CASE o_orderkey % 6 WHEN 5 THEN 'Fresh ' || o_orderkey WHEN 4 THEN 'Fresh ' || o_orderkey END AS artist_name,
+ ['exact_match_event_name', 'too_long', 'matches_venue_name', 'junk_keyword', 'kept_first_of_multi', NULL][1 + o_orderkey % 6] AS reason FROM orders""", catalog=False)
+def c20_cleaned_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One artist of each kind in turn; the resembling kind is held by a test."""
+    o, k = bind.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    fresh = F.concat(F.lit("Fresh "), k.cast("string"))
+    kinds_ = [F.lit("AN EVENING OF WORDS "), F.repeat(F.lit("long "), 30), F.col("c_name"), F.lit("Acme Presents"), F.concat(fresh, F.lit(" b2b Other")), fresh]
+    artist = F.get(F.array(*kinds_), (k % 6).cast("int"))
+    rows = o.join(bind.table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(k.cast("long").alias("event_id"), F.lit("An evening of words").alias("name"), artist.alias("artist_name"))
+    return classify.cleaned_artists(rows, bind.venues(spark, sf_dir))

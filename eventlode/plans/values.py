@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlode.functions import dates, names, text as T
 from eventlode.plans.book import Book
-from eventlode.sources import bind, feeds, nested, pages
+from eventlode.sources import bind, feeds, nested, pages, sites
 
 BOOK = Book()
 TODAY = dt.date(2000, 1, 1)
@@ -206,3 +206,54 @@ def c15_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = bind.table(spark, sf_dir, "pages")
     return p.select("page_id", (validate.evidenced(F.left("html", F.lit(40)), F.col("html")) & ~validate.evidenced(F.lit("☃ no such name"), F.col("html"))).alias("has_text"))
+
+
+_SITE_SQL = """
+SELECT o_orderkey::VARCHAR AS source_id, 'Show ' || o_orderkey AS name, o_orderdate::DATE AS start_date, '20:30' AS start_time, {price} AS price, 'Hall ' || o_custkey AS venue_name, {category} AS category FROM orders WHERE o_orderdate >= DATE '2000-01-01'{more}"""
+
+
+def _of_site(spark: SparkSession, sf_dir: str, source: str, item: list, wrap: str, days: int | None = None) -> DataFrame:
+    o = bind.table(spark, sf_dir, "orders")
+    payload = F.concat(F.lit(wrap.split("@")[0]), F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in item]), F.lit(wrap.split("@")[1]))
+    rows = sites.site_records(o.select(payload.alias("payload")), source, F.lit(TODAY), days=days)
+    return rows.select("source_id", "name", "start_date", "start_time", "price", "venue_name", F.get("raw_categories", F.lit(0)).alias("category"))
+
+
+@BOOK.add(_SITE_SQL.format(price="(o_orderkey % 90)::DOUBLE", category="CASE WHEN o_orderkey % 2 = 0 THEN 'Music' ELSE 'Art' END", more=""), catalog=False)
+def s19_seatgeek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    item = ['{"id": ', k, ', "title": "Show ', k, '", "datetime_local": "', F.to_date("o_orderdate"), 'T20:30:00", "type": "', F.when(k % 2 == 0, "concert").otherwise("theater"), '", "stats": {"lowest_price": ', k % 90, '}, "venue": {"name": "Hall ', F.col("o_custkey"), '"}}']
+    return _of_site(spark, sf_dir, "seatgeek", item, '{"events": [@]}')
+
+
+@BOOK.add(_SITE_SQL.format(price="CASE WHEN o_orderkey % 90 <> 0 THEN round((o_orderkey % 90)::DECIMAL(18, 4) / 100, 2)::DOUBLE END", category="'Music'", more=""), catalog=False)
+def s19_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    item = ['{"id": "', k, '", "name": "Show ', k, '", "dates": {"event_start_date": "', F.to_date("o_orderdate"), 'T20:30:00+00:00"}, "price": {"amount_from": ', k % 90, '}, "venues": [{"name": "Hall ', F.col("o_custkey"), '"}]}']
+    return _of_site(spark, sf_dir, "dice", item, '{"data": [@]}')
+
+
+@BOOK.add(_SITE_SQL.format(price="NULL::DOUBLE", category="NULL::VARCHAR", more=" AND o_orderdate <= DATE '2000-02-15'").replace("o_orderkey::VARCHAR AS source_id", "'bandsintown:' || o_orderkey AS source_id"), catalog=False)
+def s19_bandsintown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item a payload; only the next 45 days."""
+    k = F.col("o_orderkey")
+    item = ['{"id": "', k, '", "lineup": ["Show ', k, '"], "datetime": "', F.to_date("o_orderdate"), 'T20:30:00", "venue": {"name": "Hall ', F.col("o_custkey"), '"}}']
+    return _of_site(spark, sf_dir, "bandsintown", item, "@", days=45)
+
+
+@BOOK.add(_SITE_SQL.format(price="NULL::DOUBLE", category="CASE WHEN o_orderkey % 2 = 0 THEN 'Music' ELSE 'Religious' END", more="").replace(" WHERE o_orderdate >= DATE '2000-01-01'", ""), catalog=False)
+def s19_predicthq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """This source keeps what is over."""
+    k = F.col("o_orderkey")
+    item = ['{"id": "', k, '", "title": "Show ', k, '", "start": "', F.to_date("o_orderdate"), 'T20:30:00Z", "category": "', F.when(k % 2 == 0, "concerts").otherwise("religion"), '", "entities": [{"name": "Hall ', F.col("o_custkey"), '"}], "location": [1.5, 2.5]}']
+    return _of_site(spark, sf_dir, "predicthq", item, '{"results": [@]}')
+
+
+@BOOK.add("""
+SELECT 'openf1-' || o_orderkey AS source_id, 'Formula 1 - Race ' || o_orderkey || ' of ' || year(o_orderdate) AS name, o_orderdate::DATE AS start_date, NULL::VARCHAR AS start_time, NULL::DOUBLE AS price, 'Hall ' || o_custkey AS venue_name, 'Sports' AS category
+FROM orders WHERE o_orderdate::DATE + 3 >= DATE '2000-01-01'""", catalog=False)
+def s19_openf1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekends end three days after their start."""
+    k = F.col("o_orderkey")
+    item = ['{"meeting_key": ', k, ', "meeting_name": "Race ', k, " of ", F.year("o_orderdate"), '", "date_start": "', F.to_date("o_orderdate"), 'T10:30:00+00:00", "circuit_short_name": "Hall ', F.col("o_custkey"), '"}']
+    return _of_site(spark, sf_dir, "openf1", item, "@")
