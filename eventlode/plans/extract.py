@@ -57,10 +57,10 @@ def f34_stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add(r"""
-SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^(.{0,60}).*$', '\1') AS head, try_cast(replace(regexp_extract(text, '(\d[\d,]*(?:\.\d{1,2})?)', 1), ',', '') AS DOUBLE) AS first_number FROM documents WHERE text IS NOT NULL""", catalog=False)
+SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^(.{0,60}).*$', '\1') AS head, try_cast(replace(regexp_extract(text, '(\d[\d,]*(?:\.\d{1,2})?)', 1), ',', '') AS DOUBLE) AS first_number FROM documents""", catalog=False)
 def f29_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads of collapsed texts, and the first number as a price."""
-    d = bind.table(spark, sf_dir, "documents").filter("text is not null")
+    d = bind.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.substring(T.collapse_space(F.col("text")), 1, 60).alias("head"), T.price_of(F.col("text")).alias("first_number"))
 
 
