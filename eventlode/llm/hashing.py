@@ -83,3 +83,14 @@ def stepped(texts: list[bytes], step: int = STEP):
             at, size = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def runs(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the runs of bytes that are no gap; the last byte has to be one. Equal runs have equal hashes."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
+    starts, ends = edges[0::2], edges[1::2]
+    up, down = _powers(len(data))
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    return starts, ends, mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlode.llm import ann, chat, langid, lm, mixing, neardup, packing, quality, substring, warc
+from eventlode.llm import align, ann, chat, collocations, langid, lm, mixing, neardup, packing, pii, quality, substring, warc
 from eventlode.llm.common import cut, table
 
 
@@ -61,6 +61,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each over what the one before has kept."""
     import corpus_pipeline
@@ -80,9 +92,12 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
         "op10_language_id": op10_language_id,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_collocations": op12_collocations,
+        "op13_personal_data": op13_personal_data,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.oracle(), "op3_mixing": mixing.oracle(), "op5_warc": warc.oracle(), "op8_quality_rules": quality.oracle()}
+    return {"op2_chat_format": chat.oracle(), "op3_mixing": mixing.oracle(), "op5_warc": warc.oracle(), "op8_quality_rules": quality.oracle(), "op12_collocations": collocations.oracle()}
