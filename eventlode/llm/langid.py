@@ -118,8 +118,10 @@ class Model:
         piece = np.cumsum(np.concatenate([[False], ~real[:-1]]) & real & True) - 1 if len(chars) else np.empty(0, np.int64)
         owners = [i for i, t in held if t]
         take = np.flatnonzero(real)
+        if not len(take):
+            return
         logs = self.score(chars, take)
-        doc = np.asarray(owners)[piece[take]]
+        doc = np.asarray(owners, np.int64)[piece[take]]
         for j in range(len(self.languages)):
             sums[:, j] += np.bincount(doc, logs[:, j], minlength=len(sums))
         count += np.bincount(doc, minlength=len(count))
