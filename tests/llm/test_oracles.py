@@ -15,4 +15,4 @@ def test_query_equals_its_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 14)] and "pipeline" in names
