@@ -13,7 +13,7 @@ bitmap of fixed size whose errors only let more through, so no phrase is lost an
 Unary paths, nodes whose whole flow comes over one edge and leaves over one edge, are compacted by pointer doubling into
 the longest phrases that always stand together.
 
-Everything is per language, which is part of a word's 64-bit hash; texts of words are kept for the frequent ones. Equal hashes of
+Everything is per language, which is part of a word's 64-bit hash; only words of phrases that are returned are looked up again. Equal hashes of
 different words would add up their counts; with a billion distinct words that has a chance of about three in a hundred.
 
 Defined results: a null text is empty, a null language `und`; repeated rows count again; a text of any length is
@@ -100,29 +100,43 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, lang, word, n of the words of texts, combined within the task."""
-    held: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
+    """h, lang, n of the words of texts, combined within the task."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def flush():
-        keys, first, inverse = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([x[1] for x in held])).astype(np.int64)
-        words, langs = (pa.concat_arrays([x[i] for x in held]).take(pa.array(first)) for i in (2, 3))
-        for at in range(0, len(keys), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[s].view(np.int64)), langs[s], words[s], pa.array(n[s])], names=["h", "lang", "word", "n"])
+        for lang, parts in held.items():
+            keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
+            for at in range(0, len(keys), 1 << 17):
+                s = slice(at, at + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[s].view(np.int64)), pa.array([lang] * len(n[s]), pa.string()), pa.array(n[s])], names=["h", "lang", "n"])
 
     size = 0
     for lang, block in _by_language(batches):
-        starts, ends, h, _ = _words(block, salt_of(lang))
-        keys, first, n = np.unique(h, return_index=True, return_counts=True)
-        words = pa.array([block[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], pa.binary()).cast(pa.string())
-        held.append((keys, n, words, pa.array([lang] * len(keys), pa.string())))
+        keys, n = np.unique(_words(block, salt_of(lang))[2], return_counts=True)
+        held.setdefault(lang, []).append((keys, n))
         size += len(keys)
-        if size > HELD:
+        if size > 2 * HELD:
             yield from flush()
-            held, size = [], 0
-    if held:
-        yield from flush()
+            held, size = {}, 0
+    yield from flush()
+
+
+def _tell_words(wanted):
+    """h, word: the texts of words whose hashes may be wanted, each once in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+        for lang, block in _by_language(batches):
+            starts, ends, h, _ = _words(block, salt_of(lang))
+            at = np.flatnonzero(wanted.value.has(h))
+            keys, first = np.unique(h[at], return_index=True)
+            new = [(k, block[starts[i] : ends[i]].decode()) for k, i in zip(keys.tolist(), at[first].tolist(), strict=True) if k not in told]
+            if new:
+                told.update(k for k, _ in new)
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray([k for k, _ in new], np.uint64).view(np.int64)), pa.array([w for _, w in new], pa.string())], names=["h", "word"])
+
+    return run
 
 
 class Bitmap:
@@ -252,18 +266,28 @@ def _names(longest: int) -> list[str]:
 
 
 class Graph:
-    """Counts of a corpus: `words` (h, lang, word, n) of frequent words, `totals` (lang, n), `edges` (w1.., n) of longest and cut-off grams."""
+    """Counts of a corpus: `words` (h, lang, n) of frequent words, `totals` (lang, n), `edges` (w1.., n) of longest and cut-off grams, and its `rows` (text, lang)."""
 
-    def __init__(self, words: DataFrame, totals: DataFrame, edges: DataFrame, longest: int, least: int):
-        self.words, self.totals, self.edges, self.longest, self.least = words, totals, edges, longest, least
+    def __init__(self, rows: DataFrame, words: DataFrame, totals: DataFrame, edges: DataFrame, longest: int, least: int):
+        self.rows, self.words, self.totals, self.edges, self.longest, self.least = rows, words, totals, edges, longest, least
 
     def phrases(self) -> DataFrame:
-        """ws (hashes of the words in order), a: every phrase of 2 to `longest` words that occurs `least` times, from the flow through its node."""
+        """ws (hashes of the words in order), a: every phrase of 2 to `longest` words that occurs `least` times, from the flow through its node.
+
+        Grams that end early are told from phrases only after they are stored: a test before would be done below
+        the sums, and then every level would be summed anew from the edges for each shorter one.
+        """
         level, names, out = self.edges, _names(self.longest), []
         for k in range(self.longest, 1, -1):
             level = level if k == self.longest else level.groupBy(*names[:k]).agg(F.sum("n").alias("n"))
-            out.append(level.filter(F.col(names[k - 1]).isNotNull() & (F.col("n") >= self.least)).select(F.array(*names[:k]).alias("ws"), F.col("n").alias("a")))
-        return reduce(DataFrame.unionByName, out)
+            out.append(level.filter(F.col("n") >= self.least).select(F.array(*names[:k]).alias("ws"), F.col("n").alias("a")))
+        return stored(reduce(DataFrame.unionByName, out), "phrases").filter(F.element_at("ws", -1).isNotNull())
+
+    def texts(self, ws: DataFrame, bits: int) -> DataFrame:
+        """h, word of all words of a column `ws`."""
+        wanted = ws.select(F.explode("ws").alias("h")).distinct()
+        shared = self.rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "h", bits))
+        return self.rows.mapInArrow(_tell_words(shared), "h long, word string").groupBy("h").agg(F.min("word").alias("word"))
 
     def paths(self, phrases: DataFrame) -> DataFrame:
         """ws, path (words' hashes of the whole path), a: for every frequent edge, the unary path it lies on.
@@ -294,8 +318,8 @@ def graph(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     """Counts words, then pairs of frequent words, then the grams that go through frequent pairs only."""
     sc = df.sparkSession.sparkContext
     rows = df.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    found = rows.mapInArrow(_count_words, "h long, lang string, word string, n long")
-    counted = stored(found.groupBy("h").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n")), "words")
+    found = rows.mapInArrow(_count_words, "h long, lang string, n long")
+    counted = stored(found.groupBy("h").agg(F.min("lang").alias("lang"), F.sum("n").alias("n")), "words")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     words = counted.filter(F.col("n") >= least)
     of_words = sc.broadcast(bitmap(words, "h", bits))
@@ -303,7 +327,7 @@ def graph(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     of_pairs = sc.broadcast(bitmap(pairs, "k", bits))
     names = _names(longest)
     edges = rows.mapInArrow(_count_grams(of_words, of_pairs, longest), ", ".join(f"{w} long" for w in names) + ", n long")
-    return Graph(words, totals, stored(edges.groupBy(*names).agg(F.sum("n").alias("n")), "grams"), longest, least)
+    return Graph(rows, words, totals, stored(edges.groupBy(*names).agg(F.sum("n").alias("n")), "grams"), longest, least)
 
 
 def score_of(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -337,12 +361,12 @@ def unsubsumed(phrases: DataFrame, candidates: DataFrame, percent: int = 100) ->
     return candidates.join(most, "ws", "left").filter(F.col("more").isNull() | (100 * F.col("more") < percent * F.col("a"))).drop("more")
 
 
-def spelled(g: Graph, rows: DataFrame, ws: str, name: str) -> DataFrame:
-    """Adds the text of a column of word hashes."""
-    key = [c for c in rows.columns if c != ws]
-    words = rows.select(ws, *key, F.posexplode(ws).alias("_at", "h")).join(g.words.select("h", "word"), "h")
+def spelled(g: Graph, rows: DataFrame, name: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """Adds the text of the phrase whose words' hashes are in `ws`."""
+    key = [c for c in rows.columns if c != "ws"]
+    words = rows.select("ws", *key, F.posexplode("ws").alias("_at", "h")).join(g.texts(rows, bits), "h")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]), " ")
-    return words.groupBy(ws, *key).agg(text.alias(name))
+    return words.groupBy("ws", *key).agg(text.alias(name))
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = MIN_COUNT, top: int = TOP, percent: int = 100, bits: int = BITMAP_BITS) -> DataFrame:
@@ -350,9 +374,9 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", longest:
     words stand together as often as the phrase's first longest gram does (the length of its unary path; null for shorter phrases).
     """
     g = graph(df, text, lang, longest, least, bits)
-    phrases = stored(g.phrases(), "phrases")
+    phrases = g.phrases()
     candidates = stored(unsubsumed(phrases, scored(g, phrases), percent), "collocations")
-    rows = spelled(g, _first(candidates, top), "ws", "phrase")
+    rows = spelled(g, _first(candidates, top), "phrase", bits)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     some = rows.withColumn("_s", F.pmod(F.xxhash64("ws"), F.lit(SALTS))).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_s").orderBy(*order))).filter(F.col("_r") <= top)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
