@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlode.operators.bucketed import BucketTable
+from eventlode.operators.upsert import upsert
 from eventlode.plans.book import Book
+from eventlode.sources import bind
 from eventlode.streaming import ingest
 
 BOOK = Book()
@@ -43,3 +46,22 @@ def t05_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows that the watermark has closed."""
     out = drained(ingest.windowed_counts(_stream(spark, sf_dir), "event_type"))
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("day"), "n")
+
+
+@BOOK.add("""
+, b AS (SELECT 0 AS k, event_id, venue_id, CASE WHEN event_id % 5 <> 0 THEN price END AS price, scrape_source AS source FROM ev WHERE event_id % 2 = 0
+ UNION ALL SELECT 1, event_id, venue_id, CASE WHEN event_id % 7 <> 0 THEN price + 1 END, 'late' FROM ev WHERE event_id % 3 = 0
+ UNION ALL SELECT 2, event_id, venue_id, price + 2, 'last' FROM ev WHERE event_id % 4 = 1 OR event_id % 10 = 0)
+SELECT event_id, min_by(venue_id, k) AS venue_id, min_by(price, k) FILTER (price IS NOT NULL) AS price, min_by(source, k) AS source FROM b GROUP BY event_id""")
+def t04_bucketed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deltas into a bucketed table, the second one twice; the last version after the older ones have expired."""
+    ev = bind.catalog_events(spark, sf_dir)
+    rows = lambda price, source: ev.select("event_id", "venue_id", price.alias("price"), source.alias("source"))
+    first = rows(F.when(F.col("event_id") % 5 != 0, F.col("price")), F.col("scrape_source")).filter("event_id % 2 = 0")
+    late = rows(F.when(F.col("event_id") % 7 != 0, F.col("price") + 1), F.lit("late")).filter("event_id % 3 = 0")
+    last = rows(F.col("price") + 2, F.lit("last")).filter("event_id % 4 = 1 or event_id % 10 = 0")
+    table = BucketTable(spark, _shared(spark), ["event_id"], buckets=16)
+    for number, delta in ((0, first), (1, late), (1, late), (2, last)):
+        table.apply(delta, lambda current, new: upsert(current, new, ["event_id"], backfill=["price"]).drop("change"), version=number)
+    table.expire(keep=1)
+    return table.read()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlode.operators.bucketed import BucketTable
 from eventlode.operators.upsert import fold_delta, upsert
 
 
@@ -29,22 +30,20 @@ def session_counts(stream: DataFrame, by: str, time: str = "ts", late: str = "1
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def upsert_stream(stream: DataFrame, table_path: str, checkpoint: str, key: list[str], arrival: str, backfill: list[str]):
-    """Upserts each micro-batch into a table of numbered versions; a batch that is replayed writes its version again.
+def upsert_stream(stream: DataFrame, table_path: str, checkpoint: str, key: list[str], arrival: str, backfill: list[str], buckets: int = 64):
+    """Upserts each micro-batch into a bucketed table, whose versions are the numbers of the batches; only buckets that a
+    batch touches are rewritten, and a batch that is replayed changes nothing. The checkpoint and the table belong together.
 
-    Returns the started query. version_of reads the last version.
+    Returns the started query. version_of reads a version.
     """
-    spark = stream.sparkSession
+    table = BucketTable(stream.sparkSession, table_path, key, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
-        delta = fold_delta(batch, key, arrival)
-        current = version_of(spark, table_path, number - 1)
-        out = delta if current is None else upsert(current, delta, key, backfill=backfill).drop("change")
-        out.write.mode("overwrite").parquet(f"{table_path}/version={number}")
+        table.apply(fold_delta(batch, key, arrival), lambda current, delta: upsert(current, delta, key, backfill=backfill).drop("change"), version=number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def version_of(spark: SparkSession, table_path: str, number: int) -> DataFrame | None:
-    """A version of the table, or None before the first."""
-    return spark.read.parquet(f"{table_path}/version={number}") if number >= 0 else None
+    """A version of the table, or None where there is none."""
+    return BucketTable(spark, table_path, []).read(number)
