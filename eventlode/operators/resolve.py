@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlode.functions.rule_tables import SOURCE_PRIORITY
 from eventlode.functions.text import blank
-from eventlode.operators.similarity import greedy_clusters
+from eventlode.operators import fuzzy
 
 
 def completeness(columns: list[str]) -> Column:
@@ -80,7 +80,7 @@ def dedup(events: DataFrame, least: float = 0.80) -> tuple[DataFrame, DataFrame]
     """The events without duplicates of a venue and day, and one row of groups_checked and duplicates_removed.
 
     Events without a venue are left alone; the greedy clusters of a block are made in id order."""
-    own = greedy_clusters(events.filter(F.col("venue_id").isNotNull()), ["venue_id", "start_date"], "event_id", "name", least).select("event_id", "cluster")
+    own = fuzzy.clustered(events.filter(F.col("venue_id").isNotNull()), ["venue_id", "start_date"], "event_id", "name", least).select("event_id", "cluster")
     clustered = events.join(own, "event_id", "left").withColumn("cluster", F.coalesce("cluster", "event_id"))
     kept = merged_duplicates(clustered, "cluster")
     blocks = events.filter(F.col("venue_id").isNotNull()).groupBy("venue_id", "start_date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("groups_checked"))

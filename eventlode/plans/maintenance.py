@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventlode.operators import resolve, similarity, upsert
+from eventlode.operators import fuzzy, resolve, upsert
 from eventlode.plans.book import Book
 from eventlode.plans.search import bound
 from eventlode.sources import bind
@@ -141,7 +141,7 @@ def y06_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound(spark, sf_dir)
     first = c.bridge.groupBy("event_id").agg(F.min("type_id").alias("type_id"))
     named = c.events.join(first, "event_id").join(c.types, "type_id").select("event_id", "venue_id", "start_date", "type_name")
-    return similarity.greedy_clusters(named, ["venue_id", "start_date"], "event_id", "type_name")
+    return fuzzy.clustered(named, ["venue_id", "start_date"], "event_id", "type_name")
 
 
 @BOOK.add("""
