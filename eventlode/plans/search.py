@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,23 +36,54 @@ class CatalogFilter:
     league_labels: tuple[str, ...] = field(default=())
     genres: tuple[str, ...] = ()
     genre_formats: dict[str, tuple[str, list[str]]] = field(default_factory=lambda: GENRE_FORMATS)
+    by_name: bool = False
 
 
-@dataclass(frozen=True)
 class Catalog:
-    cities: DataFrame
-    venues: DataFrame
-    events: DataFrame
-    types: DataFrame
-    bridge: DataFrame
-    artists: DataFrame
-    taxonomy: DataFrame
-    artist_genres: DataFrame
-    matches: DataFrame
+    """The tables of a catalog. Each is read when a query first asks for it, so that a query costs only the tables that it uses."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._source = spark, sf_dir
+
+    @cached_property
+    def cities(self) -> DataFrame:
+        return bind.cities(*self._source)
+
+    @cached_property
+    def venues(self) -> DataFrame:
+        return bind.venues(*self._source)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return bind.catalog_events(*self._source)
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return bind.event_types(*self._source)
+
+    @cached_property
+    def bridge(self) -> DataFrame:
+        return bind.event_event_types(*self._source)
+
+    @cached_property
+    def artists(self) -> DataFrame:
+        return bind.event_artists(*self._source)
+
+    @cached_property
+    def taxonomy(self) -> DataFrame:
+        return bind.genre_taxonomy(*self._source)
+
+    @cached_property
+    def artist_genres(self) -> DataFrame:
+        return bind.artist_genres(*self._source)
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return bind.match_ups(*self._source)
 
 
 def bound(spark: SparkSession, sf_dir: str) -> Catalog:
-    return Catalog(bind.cities(spark, sf_dir), bind.venues(spark, sf_dir), bind.catalog_events(spark, sf_dir), bind.event_types(spark, sf_dir), bind.event_event_types(spark, sf_dir), bind.event_artists(spark, sf_dir), bind.genre_taxonomy(spark, sf_dir), bind.artist_genres(spark, sf_dir), bind.match_ups(spark, sf_dir))
+    return Catalog(spark, sf_dir)
 
 
 def _match(c: Column, term: str, f: CatalogFilter) -> Column:
@@ -86,6 +118,9 @@ def filtered(cat: Catalog, f: CatalogFilter, complete: bool = True) -> DataFrame
 
     Date and source filters reach the scan. Terms of type_terms are AND-ed: each must match a type, a category, the
     artist or the venue. City ids that aren't numbers are dropped; with only such ids nothing matches.
+
+    by_name: terms also match the event's name, and `search` that alone. A league's label asks for names that begin with it, and a
+    term that any sports row has as a word in its name keeps sports rows of matching names only.
     """
     window = F.col("start_date") >= F.lit(f.as_of)
     if f.start:
@@ -111,12 +146,23 @@ def filtered(cat: Catalog, f: CatalogFilter, complete: bool = True) -> DataFrame
     if f.categories:
         in_category = cat.types.filter(F.col("category").isin(list(f.categories))).select("type_id")
         rows = rows.join(cat.bridge.join(in_category, "type_id", "left_semi"), "event_id", "left_semi")
+    if f.by_name and words:
+        rows = rows.join(cat.matches.select("event_id", "event_name"), "event_id", "left")
+    labels = {x.lower() for x in f.league_labels}
     for i, term in enumerate(f.type_terms):
+        if f.by_name and term.lower() in labels:
+            rows = rows.filter(F.col("event_name").ilike(T.like_escaped(term, f.escape) + " -%"))
+            continue
         matched = cat.types.filter(_match(F.col("type_name"), term, f) | _match(F.col("category"), term, f)).select("type_id")
         hit = cat.bridge.join(matched, "type_id", "left_semi").select("event_id", F.lit(True).alias(f"_hit{i}")).distinct()
         rows = rows.join(hit, "event_id", "left")
         own = _match(F.col("artist_name"), term, f) | _match(F.col("venue_name"), term, f)
-        rows = rows.filter(F.coalesce(F.col(f"_hit{i}"), F.lit(False)) | F.coalesce(own, F.lit(False))).drop(f"_hit{i}")
+        any_hit = F.coalesce(F.col(f"_hit{i}"), F.lit(False)) | F.coalesce(own, F.lit(False))
+        rows = (_locked_to_sports(cat, rows, term, f, any_hit) if f.by_name else rows.filter(any_hit)).drop(f"_hit{i}")
+    if f.search and f.by_name:
+        if f.search.strip().lower() in labels:
+            return rows.filter(F.col("event_name").ilike(T.like_escaped(f.search.strip(), f.escape) + " -%"))
+        return _locked_to_sports(cat, rows, f.search.strip(), f, F.lit(False))
     if f.search:
         if f.match == "word" and f.search.lower() in {x.lower() for x in f.league_labels}:
             rows = rows.filter(F.col("artist_name").ilike(T.like_escaped(f.search, f.escape) + " -%"))
@@ -128,6 +174,16 @@ def filtered(cat: Catalog, f: CatalogFilter, complete: bool = True) -> DataFrame
     return rows
 
 
+def _locked_to_sports(cat: Catalog, rows: DataFrame, term: str, f: CatalogFilter, others: Column) -> DataFrame:
+    """Rows whose event's name matches, or that pass `others`; if any sports row has the term as a word in its name, sports rows by name only."""
+    named = F.coalesce(_match(F.col("event_name"), term, f), F.lit(False))
+    if f.match != "word":
+        return rows.filter(named | others)
+    sports = cat.events.filter(F.col("sport").isNotNull()).select("event_id").join(cat.matches.select("event_id", "event_name"), "event_id")
+    probe = sports.agg(F.coalesce(F.max(T.whole_word(F.col("event_name"), term, f.escape)), F.lit(False)).alias("_locked"))
+    return rows.crossJoin(F.broadcast(probe)).filter(F.when(F.col("_locked"), F.col("sport").isNotNull() & named).otherwise(named | others)).drop("_locked")  # one row
+
+
 def with_types(cat: Catalog, rows: DataFrame) -> DataFrame:
     """Adds the event's type names and categories, each once and in order, as text."""
     own = cat.bridge.join(rows.select("event_id"), "event_id", "left_semi").join(cat.types, "type_id")
@@ -352,3 +408,43 @@ def q03_suggest_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q03_suggest_leagues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A league's prefix gives the leagues alone."""
     return suggest_all(bound(spark, sf_dir), "leag", bind.AS_OF_DATE)
+
+
+_NAMED = f"{_FULL} LEFT JOIN matches USING (event_id)"
+
+
+def _words_sql(c: str, term: str) -> str:
+    tests = [f"{term}%", f"% {term}%"] if len(term) >= 4 else [term, f"{term} %", f"% {term} %", f"% {term}"]
+    return "coalesce(" + " OR ".join(f"{c} ILIKE '{t}'" for t in tests) + ", false)"
+
+
+def _locked_sql(term: str) -> str:
+    whole = " OR ".join(f"event_name ILIKE '{t}'" for t in (term, f"{term} %", f"% {term} %", f"% {term}"))
+    return f"(SELECT coalesce(bool_or({whole}), false) FROM ev JOIN matches USING (event_id) WHERE sport IS NOT NULL)"
+
+
+@BOOK.add(f"""
+SELECT event_id, event_name, sport FROM {_NAMED} WHERE {_UP} AND CASE WHEN {_locked_sql("ring")} THEN sport IS NOT NULL AND {_words_sql("event_name", "ring")}
+ ELSE event_id IN (SELECT event_id FROM bridge JOIN types USING (type_id) WHERE {_words_sql("type_name", "ring")} OR {_words_sql("category", "ring")}) OR {_words_sql("artist_name", "ring")} OR {_words_sql("event_name", "ring")} OR {_words_sql("venue_name", "ring")} END""")
+def p09_event_name_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term that no sports row has: types, artist, venue and the event's name count."""
+    return filtered(bound(spark, sf_dir), CatalogFilter(bind.AS_OF_DATE, type_terms=("ring",), by_name=True)).select("event_id", "event_name", "sport")
+
+
+@BOOK.add(f"""
+SELECT event_id, event_name, sport FROM {_NAMED} WHERE {_UP} AND CASE WHEN {_locked_sql("reds")} THEN sport IS NOT NULL AND {_words_sql("event_name", "reds")} ELSE {_words_sql("event_name", "reds")} END
+ AND event_name ILIKE 'league 2 -%'""")
+def p10_leagues_and_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A team's name keeps sports rows only, and a league's label asks for names that begin with it."""
+    f = CatalogFilter(bind.AS_OF_DATE, type_terms=("League 2",), league_labels=("league 2",), search=" reds ", by_name=True)
+    return filtered(bound(spark, sf_dir), f).select("event_id", "event_name", "sport")
+
+
+@BOOK.add(f"""
+, page AS (SELECT event_id, start_date, venue_name, city_name, country, artist_name, scrape_source, sport FROM {_NAMED}
+  WHERE {_UP} AND CASE WHEN {_locked_sql("blue")} THEN sport IS NOT NULL AND {_words_sql("event_name", "blue")} ELSE {_words_sql("event_name", "blue")} END ORDER BY start_date NULLS FIRST, event_id LIMIT 50)
+SELECT page.*, (SELECT string_agg(DISTINCT type_name, ', ' ORDER BY type_name) FROM bridge b JOIN types USING (type_id) WHERE b.event_id = page.event_id) AS event_types,
+  (SELECT string_agg(DISTINCT category, ', ' ORDER BY category) FROM bridge b JOIN types USING (type_id) WHERE b.event_id = page.event_id) AS categories FROM page""")
+def q01_search_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the events whose name has a word that begins with the search."""
+    return search_events(bound(spark, sf_dir), CatalogFilter(bind.AS_OF_DATE, search="blue", by_name=True))
