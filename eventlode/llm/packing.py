@@ -4,7 +4,8 @@ Documents become token pieces of at most `capacity`. Which pieces share a sequen
 lengths only, so the plan is made on the table of counts by length, of `capacity` rows at most however
 many documents there are: per bin, the longest remaining length is placed and a bitset subset-sum over
 the available lengths finds the fullest combination for the rest. That combination is removed as many
-times as its counts allow. Pieces then take their places by their rank among pieces of equal length.
+times as its counts allow. A bin filled to the last token can use up the short lengths that later bins need, so plans are
+also made that take the longest lengths whose sum comes within some slack, and the plan with fewest bins is kept. Pieces then take their places by their rank among pieces of equal length.
 Ranks come from counts per (length, bucket of ids), so one length that a third of all pieces have spreads
 over many tasks.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from eventlode.llm.common import sliced
 
 CAPACITY, END_ID = 1024, 2
+#: Slacks of a bin with which plans are made, until one needs no more bins than its tokens do.
+SLACKS = (0, 1, 2, 4, 8, 16)
 #: Words whose ids a worker remembers after a space, and as many at line starts; when there are more it starts anew. Some 60 MB in all.
 REMEMBERED = 150_000
 #: A byte-level vocabulary writes bytes as characters: printable Latin-1 as itself, the others from 256 on.
@@ -152,7 +155,20 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: st
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
-    """Bins as (list of (length, how many), times), fullest combinations first for the longest lengths."""
+    """Bins as (list of (length, how many), times): of the plans with the slacks SLACKS the first of those with fewest bins."""
+    least, best, fewest = -(-sum(n * c for n, c in counts.items()) // capacity), [], None
+    for slack in SLACKS:
+        own = plan_within(counts, capacity, slack)
+        bins = sum(times for _, times in own)
+        if fewest is None or bins < fewest:
+            best, fewest = own, bins
+        if fewest <= least:
+            break
+    return best
+
+
+def plan_within(counts: dict[int, int], capacity: int, slack: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """One plan: the longest remaining length of each bin is joined by the combination that `fill` finds."""
     left = {n: c for n, c in counts.items() if c > 0}
     out = []
     while left:
@@ -160,7 +176,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tu
         room = capacity - top
         bin_ = {top: 1}
         left[top] -= 1
-        chosen = fill({n: c for n, c in left.items() if c > 0 and n <= room}, room)
+        chosen = fill({n: c for n, c in left.items() if c > 0 and n <= room}, room, slack)
         left[top] += 1
         for n, k in chosen.items():
             bin_[n] = bin_.get(n, 0) + k
@@ -173,8 +189,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tu
     return out
 
 
-def fill(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The fullest combination of lengths within `room`: subset sums as bits of one whole number."""
+def fill(counts: dict[int, int], room: int, slack: int = 0) -> dict[int, int]:
+    """The fullest combination of lengths within `room`, of the longest ones that come within `slack` of it: subset sums as bits of one whole number."""
     mask, sums, steps = (1 << (room + 1)) - 1, 1, []
     for n in sorted(counts, reverse=True):
         many, size = min(counts[n], room // n), 1
@@ -183,7 +199,7 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
             steps.append((n, take, sums))
             sums |= (sums << (n * take)) & mask
             many, size = many - take, size * 2
-        if sums >> room & 1:
+        if sums >> max(room - slack, 0):
             break
     at, chosen = sums.bit_length() - 1, {}
     for n, take, before in reversed(steps):

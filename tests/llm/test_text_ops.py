@@ -280,3 +280,22 @@ def test_lm_scores_follow_the_formula(docs):
             want += math.log10((max(k - d, 0) / c[a] if k else 0.0) + back * (c[b] + 1) / (n + v + 1))
         assert abs(r.score - want) < 0.01 * len(ts)  # half a step of both codebooks
     assert lm.lm_scores(docs([(1, "a")]).filter("doc_id > 1")).count() == 0
+
+
+def test_plans_with_slack_save_bins_and_place_every_piece():
+    rng, worse = random.Random(12), 0
+    for _ in range(30):
+        counts: dict[int, int] = {}
+        for _ in range(rng.randint(1, 60)):
+            n = rng.choice([rng.randint(1, 64), rng.randint(20, 35)])
+            counts[n] = counts.get(n, 0) + rng.randint(1, 30)
+        placed: dict[int, int] = {}
+        for items, times in packing.plan(counts, 64):
+            assert sum(n * k for n, k in items) <= 64 and times > 0
+            for n, k in items:
+                placed[n] = placed.get(n, 0) + k * times
+        assert placed == counts
+        bins, plain = (sum(t for _, t in p) for p in (packing.plan(counts, 64), packing.plan_within(counts, 64, 0)))
+        assert -(-sum(n * c for n, c in counts.items()) // 64) <= bins <= plain
+        worse += plain > bins
+    assert worse and packing.plan({}, 64) == []
