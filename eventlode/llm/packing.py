@@ -15,6 +15,7 @@ ranked first; repeated rows are documents of their own; an empty table gives an
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,13 +30,15 @@ from eventlode.llm.common import sliced
 CAPACITY, END_ID = 1024, 2
 #: Slacks of a bin with which plans are made, until one needs no more bins than its tokens do.
 SLACKS = (0, 1, 2, 4, 8, 16)
-#: Words whose ids a worker remembers after a space, and as many at line starts; when there are more it starts anew. Some 60 MB in all.
-REMEMBERED = 150_000
+#: Words whose ids a worker remembers after a space, and as many at line starts; when there are more, it goes on to remember those of
+#: them that it meets again. With the ones before, that is twice as many, and some 200 MB in all.
+REMEMBERED = 250_000
 #: A byte-level vocabulary writes bytes as characters: printable Latin-1 as itself, the others from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Low bits of a place; the high ones, those of its file, are the bucket that ranks are counted by.
 PLACE_BITS = 32
 BYTE_LEVEL = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_OTHER_SPACE = re.compile(r"[^\S ]")
 PIECES = "doc_id long, place long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,22 +47,31 @@ class _Words(dict):
 
     def __init__(self, tokenizer, before: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer, self.before = tokenizer, before
+        self.start = before.translate(BYTE_LEVEL)
         self.packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
         self.marks = {m: whole(tokenizer, m) for m in ".,;:!?"}
 
     def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            out = self.found(word)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
+        self[word] = out
+        return out
+
+    def found(self, word: str) -> bytes:
         if word.isalpha():  # one run of letters is one piece: the model alone gives its ids
-            ids = [t.id for t in self.tokenizer.model.tokenize((self.before + word).encode().decode("latin-1").translate(BYTE_LEVEL))]
+            written = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
+            ids = [t.id for t in self.tokenizer.model.tokenize(self.start + written)]
         elif len(word) > 1 and word[-1] in self.marks and word[-2].isalpha():  # a mark after letters is a piece by itself
-            out = self[word] = self[word[:-1]] + self.marks[word[-1]]
-            return out
+            return self[word[:-1]] + self.marks[word[-1]]
         else:
             ids = self.tokenizer.encode(self.before + word, add_special_tokens=False).ids
-        out = self[word] = self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.asarray(ids, dtype="<u4").tobytes()
-        return out
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.asarray(ids, dtype="<u4").tobytes()
 
 
 def whole(tokenizer, text: str) -> bytes:
@@ -89,7 +101,7 @@ class Encoder:
     @staticmethod
     def plain(line: str) -> bool:
         """Only spaces, single ones between words, and none at the ends."""
-        return line != "" and "  " not in line and line[0] != " " and line[-1] != " " and (line.isascii() and line.isprintable() or not any(c.isspace() and c != " " for c in set(line)))
+        return line != "" and "  " not in line and line[0] != " " and line[-1] != " " and (line.isascii() and line.isprintable() or not _OTHER_SPACE.search(line))
 
     def line(self, line: str) -> bytes:
         start, *others = line.split(" ")
