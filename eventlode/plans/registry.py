@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _books() -> list:
-    from eventlode.plans import classify, extract, ingest, maintenance, search, stats, streams, values, writes
+    from eventlode.plans import classify, extract, ingest, maintenance, pulse, search, stats, streams, values, writes
 
-    return [search.BOOK, stats.BOOK, maintenance.BOOK, extract.BOOK, classify.BOOK, writes.BOOK, values.BOOK, ingest.BOOK, streams.BOOK]
+    return [search.BOOK, stats.BOOK, maintenance.BOOK, extract.BOOK, classify.BOOK, writes.BOOK, values.BOOK, ingest.BOOK, streams.BOOK, pulse.BOOK]
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlode.functions import text as T
+from eventlode.operators import contain
 from eventlode.plans.book import Book
 from eventlode.plans.search import bound
 from eventlode.sources import bind
@@ -175,11 +176,9 @@ def q13_venues_of_city(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.city_id AS a_id, b.city_id AS b_id, a.country FROM cities a JOIN cities b ON a.country = b.country AND (a.city_name, a.city_id) < (b.city_name, b.city_id)
 WHERE contains(lower(a.city_name), lower(b.city_name)) OR contains(lower(b.city_name), lower(a.city_name))""")
 def q14_city_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one country where one name holds the other."""
-    c = bind.cities(spark, sf_dir).select("city_id", "country", F.lower("city_name").alias("k"), "city_name")
-    a, b = c.alias("a"), c.alias("b")
-    on = (F.col("a.country") == F.col("b.country")) & (F.struct("a.city_name", "a.city_id") < F.struct("b.city_name", "b.city_id")) & (F.col("a.k").contains(F.col("b.k")) | F.col("b.k").contains(F.col("a.k")))
-    return a.join(b, on).select(F.col("a.city_id").alias("a_id"), F.col("b.city_id").alias("b_id"), F.col("a.country").alias("country"))
+    """Pairs of one country where one name holds the other, found by the rarest gram of the one that is held."""
+    pairs = contain.containing_pairs(bind.cities(spark, sf_dir), F.struct("city_name", "city_id"), "country", F.lower("city_name"))
+    return pairs.select(F.least("holder", "held")["city_id"].alias("a_id"), F.greatest("holder", "held")["city_id"].alias("b_id"), "country")
 
 
 @BOOK.add(f"SELECT scrape_source, count(*) AS n, count(*) FILTER (WHERE {_UP}) AS n_upcoming FROM ev GROUP BY 1")

@@ -23,13 +23,13 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there and returns what it wrote to the shared folder."""
-    spark, out = stream.sparkSession, _shared(stream.sparkSession)
+    spark, out = stream.sparkSession, shared_folder(stream.sparkSession)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
@@ -60,7 +60,7 @@ def t04_bucketed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = rows(F.when(F.col("event_id") % 5 != 0, F.col("price")), F.col("scrape_source")).filter("event_id % 2 = 0")
     late = rows(F.when(F.col("event_id") % 7 != 0, F.col("price") + 1), F.lit("late")).filter("event_id % 3 = 0")
     last = rows(F.col("price") + 2, F.lit("last")).filter("event_id % 4 = 1 or event_id % 10 = 0")
-    table = BucketTable(spark, _shared(spark), ["event_id"], buckets=16)
+    table = BucketTable(spark, shared_folder(spark), ["event_id"], buckets=16)
     for number, delta in ((0, first), (1, late), (1, late), (2, last)):
         table.apply(delta, lambda current, new: upsert(current, new, ["event_id"], backfill=["price"]).drop("change"), version=number)
     table.expire(keep=1)
