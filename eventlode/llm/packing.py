@@ -32,7 +32,7 @@ CAPACITY, END_ID = 1024, 2
 SLACKS = (0, 1, 2, 4, 8, 16)
 #: Words whose ids a worker remembers after a space, and as many at line starts; when there are more, it goes on to remember those of
 #: them that it meets again. With the ones before, that is twice as many, and some 200 MB in all.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: A byte-level vocabulary writes bytes as characters: printable Latin-1 as itself, the others from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Low bits of a place; the high ones, those of its file, are the bucket that ranks are counted by.
@@ -50,6 +50,7 @@ class _Words(dict):
         self.older: dict[str, bytes] = {}
         self.tokenizer, self.before = tokenizer, before
         self.start = before.translate(BYTE_LEVEL)
+        self.tokenize = tokenizer.model.tokenize
         self.packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
         self.marks = {m: whole(tokenizer, m) for m in ".,;:!?"}
 
@@ -66,7 +67,7 @@ class _Words(dict):
     def found(self, word: str) -> bytes:
         if word.isalpha():  # one run of letters is one piece: the model alone gives its ids
             written = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
-            ids = [t.id for t in self.tokenizer.model.tokenize(self.start + written)]
+            ids = [t.id for t in self.tokenize(self.start + written)]
         elif len(word) > 1 and word[-1] in self.marks and word[-2].isalpha():  # a mark after letters is a piece by itself
             return self[word[:-1]] + self.marks[word[-1]]
         else:
