@@ -301,3 +301,18 @@ def c20_cleaned_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     artist = F.get(F.array(*kinds_), (k % 6).cast("int"))
     rows = o.join(bind.table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(k.cast("long").alias("event_id"), F.lit("An evening of words").alias("name"), artist.alias("artist_name"))
     return classify.cleaned_artists(rows, bind.venues(spark, sf_dir))
+
+
+GENRES = ["Deep House", "uk grime", "neo soul", "Swing revival", "delta blues", "chamber music", "italian opera", "Bluegrass gospel", "indie folk", "roots reggae", "black metal", "k-pop", "stand-up comedy", "spoken word", "vaporwave", "latin jazz", "classical piano"]
+
+
+@BOOK.add(f"""
+, g AS (SELECT event_id, {_list(GENRES)}[event_id % {len(GENRES)} + 1] AS first, CASE WHEN event_id % 5 <> 0 THEN {_list(GENRES)}[event_id // {len(GENRES)} % {len(GENRES)} + 1] END AS second FROM ev),
+t AS (SELECT event_id, lower(concat_ws(chr(10), first, second)) AS lines, lower(concat_ws(' ', first, second)) AS line FROM g)
+SELECT event_id, {_keywords("lines", R.GENRE_TYPES)}[1] AS genre_type, coalesce({_keywords("line", R.GENRE_CATEGORIES)}[1], 'Music') AS genre_category FROM t""")
+def c05_genre_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type and category of an artist's genres: the first rule that any of them has a word of."""
+    key = F.col("event_id")
+    second = F.when(key % 5 != 0, _pick(GENRES, F.floor(key / len(GENRES))))
+    genres = F.array_compact(F.array(_pick(GENRES, key), second))
+    return bind.catalog_events(spark, sf_dir).select("event_id", classify.genre_type(genres).alias("genre_type"), classify.genre_category(genres).alias("genre_category"))
