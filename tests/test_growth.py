@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from eventlode.operators import classify
+from eventlode.operators import classify, rollup
 
 RULES = [("a", ["0"]), ("b", ["1"]), ("c", ["2"])]
 
@@ -19,3 +21,11 @@ def test_keyword_rules_keep_their_order_and_nulls(spark):
     df = spark.createDataFrame([("x2 1 0",), ("2",), ("none",), (None,)], "t string").coalesce(1)
     got = df.select(classify.keyword_types(F.col("t"), RULES).alias("all"), classify.keyword_type(F.col("t"), RULES).alias("first")).collect()
     assert [(r["all"], r["first"]) for r in got] == [(["a", "b", "c"], "a"), (["c"], "c"), ([], None), ([], None)]
+
+
+def test_a_rollup_of_scattered_ids_takes_no_more_than_a_number_per_id(spark):
+    ids = [-70_000, -1, *range(0, 64), *(k * 40_000 for k in range(1, 100))]
+    df = spark.createDataFrame([(dt.date(2024, 1, 1 + i % 2), i) for i in ids], "day date, id long")
+    daily = rollup.daily(df, "day", [], {"id": "id"})
+    assert daily.count() <= len(ids) and dict(daily.dtypes)["bitmap"] == "bigint"
+    assert rollup.distinct_in(daily, {"all": F.lit(True), "first": F.col("day") == F.lit(dt.date(2024, 1, 1))}, []).collect() == [("id", len(ids), sum(i % 2 == 0 for i in ids))]
