@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from eventlode.functions import names
 from eventlode.functions import rule_tables as R
 from eventlode.functions import text as T
+from eventlode.operators.dealt import left_dealt
 from eventlode.operators.similarity import may_reach, seq_ratio
 
 Keywords = list[tuple[str, list[str]]]
@@ -97,19 +98,31 @@ def existing_types(types: DataFrame, rules: list[Keywords]) -> DataFrame:
     return types.filter(F.col("type_name").isin(named)).agg(F.collect_set("type_name").alias("existing"))
 
 
+def _with_choices(events: DataFrame, types: DataFrame) -> DataFrame:
+    """The events with `_existing`, `_any` (a type of each category) and `_worded`: the first type that their words give.
+
+    Both lists are one row, bounded by the rules and by the number of categories."""
+    first = types.filter(F.col("category").isNotNull()).groupBy("category").agg(F.min_by("type_name", "type_id").alias("t"))
+    any_ = first.agg(F.map_from_entries(F.collect_list(F.struct("category", "t"))).alias("_any"))
+    venue = F.lower(_text(F.col("venue_name"), F.col("venue_city")))
+    text = F.concat(F.lit(" "), F.lower(F.coalesce("name", F.lit(""))), F.lit(" "), F.lower(F.left(F.coalesce("description", F.lit("")), F.lit(400))), F.lit(" "))
+    versus = F.when(F.contains(text, F.lit(" vs ")) | F.contains(text, F.lit(" vs. ")), F.array(F.lit("Sports Event"))).otherwise(F.expr("cast(array() as array<string>)"))
+    worded = first_of(F.concat(F.coalesce(keyword_types(venue, R.VENUE_TYPES), F.expr("cast(array() as array<string>)")), versus, keyword_types(text, R.NAME_TYPES)), F.col("_existing"))
+    known = existing_types(types, [R.VENUE_TYPES, R.NAME_TYPES]).withColumnRenamed("existing", "_existing")
+    return events.crossJoin(F.broadcast(known)).crossJoin(F.broadcast(any_)).withColumn("_worded", worded)
+
+
+def _type_of(category: Column) -> Column:
+    """For rows with choices: the type by words, else the category's usual type if that exists, else any of the category."""
+    usual = _lookup(R.CATEGORY_TYPES, category)
+    return F.coalesce("_worded", F.when(F.array_contains("_existing", usual), usual), F.try_element_at("_any", category))
+
+
 def resolve_types(events: DataFrame, types: DataFrame) -> DataFrame:
     """events: name, description, venue_name, venue_city, category. Adds type_name: by the venue's words, "vs", the name's
     and the description's words, the category's usual type, any type of the category; only types that the table `types`
     (type_id, type_name, category) has."""
-    venue = F.lower(_text(F.col("venue_name"), F.col("venue_city")))
-    text = F.concat(F.lit(" "), F.lower(F.coalesce("name", F.lit(""))), F.lit(" "), F.lower(F.left(F.coalesce("description", F.lit("")), F.lit(400))), F.lit(" "))
-    some = F.col("existing")
-    versus = F.when(F.contains(text, F.lit(" vs ")) | F.contains(text, F.lit(" vs. ")), F.array(F.lit("Sports Event"))).otherwise(F.expr("cast(array() as array<string>)"))
-    usual = F.array_compact(F.array(_lookup(R.CATEGORY_TYPES, F.col("category"))))
-    any_ = types.groupBy("category").agg(F.min_by("type_name", "type_id").alias("_any"))
-    rows = events.crossJoin(F.broadcast(existing_types(types, [R.VENUE_TYPES, R.NAME_TYPES]))).join(any_, "category", "left")
-    found = first_of(F.concat(keyword_types(venue, R.VENUE_TYPES), versus, keyword_types(text, R.NAME_TYPES), usual), some)
-    return rows.withColumn("type_name", F.coalesce(found, "_any")).drop("existing", "_any")
+    return _with_choices(events, types).withColumn("type_name", _type_of(F.col("category"))).drop("_existing", "_any", "_worded")
 
 
 def longest_first(rules: Keywords) -> Keywords:
@@ -123,7 +136,7 @@ def two_pass_types(events: DataFrame, performers: DataFrame, types: DataFrame) -
     rules = longest_first(R.KEYWORD_TYPES)
     artist = F.nullif(F.trim("artist_name"), F.lit(""))
     known = performers.join(types.select("type_name").distinct(), "type_name", "left_semi").groupBy(F.col("name_key").alias("_key")).agg(F.min("type_name").alias("_performer"))
-    rows = events.withColumn("_key", T.key_lower_collapse(F.col("artist_name"))).join(known, "_key", "left").crossJoin(F.broadcast(existing_types(types, [rules])))
+    rows = left_dealt(events.withColumn("_key", T.key_lower_collapse(F.col("artist_name"))), known, "_key", "event_id").crossJoin(F.broadcast(existing_types(types, [rules])))
     concert = F.when(artist.isNotNull(), first_of(F.array(F.lit("Concert"), F.lit("Pop Concert")), F.col("existing")))
     words = F.lower(_text(F.col("name"), F.col("venue_name"), F.col("description")))
     # the first type of all that match decides; if it does not exist, nothing does
@@ -216,26 +229,17 @@ def assign_types(events: DataFrame, performers: DataFrame, types: DataFrame, com
     performers: name_key, type_name, category. compat: a performer overrides the sport's type, even with nothing where its
     own type is unknown; else sports events keep theirs.
     """
-    base = ["event_id", "name", "description", "venue_name", "venue_city"]
-    asked = [F.array(F.struct(F.lit(0).alias("p"), F.col("sport").alias("category"))), F.array(F.struct(F.lit(1).alias("p"), F.when(F.col("sport").isNotNull(), "Sports").alias("category")))]
-    people = performers.groupBy("name_key").agg(F.min(F.struct("type_name", "category")).alias("_p"))
-    rows = events.withColumn("name_key", F.lower(F.trim("artist_name"))).join(people, "name_key", "left")
-    asked.append(F.array(F.struct(F.lit(2).alias("p"), F.when(T.blank(F.col("_p.type_name")), F.col("_p.category")).alias("category"))))
-    asked.append(F.transform(F.coalesce("raw_categories", F.expr("cast(array() as array<string>)")), lambda c, i: F.struct((i + 3).alias("p"), c.alias("category"))))
-    one = rows.select(*base, F.explode(F.filter(F.concat(*asked), lambda a: a["category"].isNotNull())).alias("a")).select(*base, "a.p", "a.category")
-    answers = resolve_types(one, types).filter("type_name is not null").groupBy("event_id").agg(
-        F.min_by(F.when(F.col("p") < 2, F.col("type_name")), F.when(F.col("p") < 2, F.col("p"))).alias("_sport"),
-        F.max(F.when(F.col("p") == 2, F.col("type_name"))).alias("_category"),
-        F.min_by(F.when(F.col("p") > 2, F.col("type_name")), F.when(F.col("p") > 2, F.col("p"))).alias("_raw"),
-    )
     known = types.groupBy(F.col("type_name").alias("_name")).agg(F.lit(True).alias("_known"))
-    all_ = rows.join(answers, "event_id", "left").join(known, F.col("_p.type_name") == F.col("_name"), "left")
-    by_performer = F.when(~T.blank(F.col("_p.type_name")), F.when(F.col("_known"), F.col("_p.type_name"))).otherwise(F.col("_category"))
-    has_rule = F.col("_p").isNotNull() & (~T.blank(F.col("_p.type_name")) | ~T.blank(F.col("_p.category")))
+    people = performers.groupBy("name_key").agg(F.min(F.struct("type_name", "category")).alias("_p")).join(known, F.col("_p.type_name") == F.col("_name"), "left").drop("_name")
+    rows = _with_choices(left_dealt(events.withColumn("name_key", F.lower(F.trim("artist_name"))), people, "name_key", "event_id"), types)
+    by_sport = F.when(F.col("sport").isNotNull(), F.coalesce(_type_of(F.col("sport")), _type_of(F.lit("Sports"))))
+    own, own_category = F.col("_p.type_name"), F.col("_p.category")
+    by_performer = F.when(~T.blank(own), F.when(F.col("_known"), own)).otherwise(F.when(own_category.isNotNull(), _type_of(own_category)))
+    by_raw = F.get(F.filter(F.transform(F.filter("raw_categories", lambda c: c.isNotNull()), _type_of), lambda t: t.isNotNull()), F.lit(0))
+    has_rule = F.col("_p").isNotNull() & (~T.blank(own) | ~T.blank(own_category))
     overrides = has_rule if compat else has_rule & F.col("sport").isNull()
-    first = F.when(overrides, by_performer).otherwise(F.col("_sport"))
-    default = F.col("default_type")
-    return all_.withColumn("type_name", F.coalesce(first, default, F.col("_raw"))).drop("name_key", "_p", "_sport", "_category", "_raw", "_name", "_known")
+    first = F.when(overrides, by_performer).otherwise(by_sport)
+    return rows.withColumn("type_name", F.coalesce(first, "default_type", by_raw)).drop("name_key", "_p", "_known", "_existing", "_any", "_worded")
 
 
 def from_performers(events: DataFrame, performers: DataFrame) -> DataFrame:
