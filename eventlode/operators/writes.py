@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlode.functions import dates, text as T
+from eventlode.operators.dealt import left_dealt
 from eventlode.operators.upsert import insert_absent, numbered
 
 
@@ -61,7 +62,7 @@ def orphans_placed(events: DataFrame, venues: DataFrame, city_id: int | None = N
     own = venues if city_id is None else venues.filter(F.col("city_id") == city_id)
     known = own.groupBy(F.col("venue_name").alias("_n")).agg(F.min("venue_id").alias("_v"))
     lost = F.col("venue_id").isNull() & ~T.blank(F.col("venue_name"))
-    return events.withColumn("_key", F.when(lost, F.col("venue_name"))).join(known, F.col("_key") == F.col("_n"), "left").withColumn("venue_id", F.coalesce("venue_id", "_v")).drop("_key", "_n", "_v")
+    return left_dealt(events.withColumn("_n", F.when(lost, F.col("venue_name"))), known, "_n", "event_id").withColumn("venue_id", F.coalesce("venue_id", "_v")).drop("_n", "_v")
 
 
 def enriched_performers(performers: DataFrame, found: DataFrame) -> DataFrame:

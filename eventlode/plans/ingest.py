@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlode.functions import dates, names
 from eventlode.functions import text as T
-from eventlode.operators import classify, fuzzy, upsert, writes
+from eventlode.operators import classify, dealt, fuzzy, upsert, writes
 from eventlode.plans.book import Book
 from eventlode.plans.search import bound
 from eventlode.sources import bind
@@ -161,10 +161,12 @@ def ingested(events: DataFrame, raw: DataFrame, venues: DataFrame, performers: D
     rows = fuzzy.settled(rows)
     all_venues = placed_venues(rows.select("first.*"), venues, city, arrival)
     own = all_venues.filter(F.col("city_id") == city.city_id).groupBy("venue_name").agg(F.min(F.struct("venue_id", "default_type")).alias("_v"))
-    rows = rows.withColumn("_name", F.col("first.venue_name")).join(own.withColumnRenamed("venue_name", "_name"), "_name", "left")
+    rows = dealt.left_dealt(rows.withColumn("_name", F.col("first.venue_name")), own.withColumnRenamed("venue_name", "_name"), "_name", "event_id")
 
     by_name = performers.groupBy(F.lower("name").alias("_title")).agg(F.min("name").alias("_performer"))
-    rows = rows.withColumn("_title", F.lower(F.trim("first.name"))).join(by_name, "_title", "left")
+    rows = rows.withColumn("_title", F.lower(F.trim("first.name")))
+    # titles that many rows share meet few performers, so that this is no join of two large sides
+    rows = dealt.left_dealt(rows, by_name.join(rows.select("_title").distinct(), "_title", "left_semi"), "_title", "event_id")
     given = F.coalesce(F.when(~T.blank(F.col("first.artist_name")), F.col("first.artist_name")), names.artist_in_title(F.col("first.name")))
     rows = rows.withColumn("_artist", F.coalesce(given, F.col("_performer")))
 

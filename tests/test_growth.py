@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from eventlode.operators import classify, rollup
+from eventlode.operators import classify, rollup, writes
+from eventlode.operators.dealt import left_dealt
 
 RULES = [("a", ["0"]), ("b", ["1"]), ("c", ["2"])]
 
@@ -29,3 +30,24 @@ def test_a_rollup_of_scattered_ids_takes_no_more_than_a_number_per_id(spark):
     daily = rollup.daily(df, "day", [], {"id": "id"})
     assert daily.count() <= len(ids) and dict(daily.dtypes)["bitmap"] == "bigint"
     assert rollup.distinct_in(daily, {"all": F.lit(True), "first": F.col("day") == F.lit(dt.date(2024, 1, 1))}, []).collect() == [("id", len(ids), sum(i % 2 == 0 for i in ids))]
+
+
+def _most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_rows_without_a_key_are_spread(spark):
+    events = spark.range(4000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 50 == 0, F.lit(None).cast("long")).otherwise(F.col("id")).alias("venue_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("venue_name"))
+    venues = spark.range(4000).select((F.col("id") + 10_000).alias("venue_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("venue_name"))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}.items():
+            spark.conf.set(k, v)
+        placed = writes.orphans_placed(events, venues)
+        assert _most_in_a_task(placed) < 2000  # of four tasks
+        assert placed.filter("venue_id <> event_id").count() == 80 and placed.filter("venue_id = event_id + 10000").count() == 80
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "event_id long, k string")
+    assert sorted(tuple(r) for r in left_dealt(odd, spark.createDataFrame([(None, 7), ("", 8)], "k string, v int"), "k", "event_id").select("event_id", "k", "v").collect()) == [(1, None, None), (2, "", 8), (3, "x", None)]
