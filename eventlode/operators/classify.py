@@ -5,6 +5,7 @@ Rule tables are parameters; those in use are in eventlode.functions.rule_tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from eventlode.functions import names
 from eventlode.functions import rule_tables as R
 from eventlode.functions import text as T
 from eventlode.operators.dealt import left_dealt
-from eventlode.operators.similarity import may_reach, seq_ratio
+from eventlode.operators.similarity import may_reach, may_share, seq_ratio
 
 Keywords = list[tuple[str, list[str]]]
 
@@ -57,11 +58,14 @@ def pattern(parts: list[str]) -> str:
 
 def pattern_type(text: Column, rules: list[tuple]) -> Column:
     """The type (last but one of each rule's fields) of the first rule of which a pattern is found; case does not count."""
-    out = None
-    for *_, name, parts in rules:
-        found = text.rlike(pattern(parts).replace("(?is)", "(?i)"))
-        out = F.when(found, name) if out is None else out.when(found, name)
-    return out
+    return once(text, lambda x: F.coalesce(*[F.when(x.rlike(_alternatives(parts)), name) for *_, name, parts in rules]))
+
+
+def _alternatives(parts: list[str]) -> str:
+    """One pattern of several; where all begin at a word's edge, other places are not tried for each of them."""
+    if all(p.startswith(r"\b") and r"\(" not in p and "|" not in re.sub(r"\(.*?\)", "", p) for p in parts):
+        return r"(?i)\b(?:" + "|".join(f"(?:{p[2:]})" for p in parts) + ")"
+    return "(?i)" + "|".join(f"(?:{p})" for p in parts)
 
 
 def map_category(source: Column, foreign: Column, maps: dict[str, dict[str, str]] | None = None) -> Column:
@@ -287,7 +291,9 @@ def cleaned_artists(events: DataFrame, venue_names: DataFrame, least: float = 0.
     artist, name = F.trim("artist_name"), F.lower(F.trim("name"))
     known = venue_names.select(F.lower("venue_name").alias("_v")).distinct()
     rows = events.filter(artist != "").withColumn("_a", artist).withColumn("_l", F.lower("_a")).join(known, F.col("_l") == F.col("_v"), "left")
-    like = F.when(may_reach(F.col("_l"), name, least), seq_ratio(F.col("_l"), name) > least).otherwise(F.lit(False))
+    # a condition around a Python function keeps no row from it, a null argument does
+    near = F.when(may_reach(F.col("_l"), name, least) & (F.col("_l") != name) & may_share(F.col("_l"), name, least), F.col("_l"))
+    like = F.coalesce(seq_ratio(near, name) > least, F.lit(False))
     first = names.first_artist(F.col("_a"))
     one = F.coalesce((first != F.col("_a")) & (F.length(first) >= 2) & ~names.is_promoter(first), F.lit(False))
     reason = F.when(F.col("_l") == name, "exact_match_event_name").when(like, "fuzzy_match_event_name").when(F.length("_a") > 120, "too_long").when(F.col("_v").isNotNull(), "matches_venue_name").when(names.is_promoter(F.col("_a")), "junk_keyword").when(one, "kept_first_of_multi")

@@ -29,6 +29,12 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) > F.lit(least) * (F.length(a) + F.length(b))
 
 
+def may_share(a: Column, b: Column, least: float) -> Column:
+    """Enough of the letters of a, each as often as it comes, have one that b holds anywhere: a bound of the ratio that needs no Python."""
+    shared = F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
+    return 2 * shared > F.lit(least) * (F.length(a) + F.length(b))
+
+
 def greedy_clusters(df: DataFrame, block: list[str], id_col: str, name: str, least: float = 0.80) -> DataFrame:
     """block columns, id, cluster (smallest id of it). In id order each row joins the first cluster with a member
     that it resembles by more than `least`, or opens one; clusters never merge. Blocks are venue and day: small by

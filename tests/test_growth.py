@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from eventlode.operators import classify, rollup, writes
+from eventlode.functions import rule_tables as R
+from eventlode.operators import classify, rollup, similarity, writes
 from eventlode.operators.dealt import left_dealt
 
 RULES = [("a", ["0"]), ("b", ["1"]), ("c", ["2"])]
@@ -51,3 +55,34 @@ def test_rows_without_a_key_are_spread(spark):
             spark.conf.set(k, v)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "event_id long, k string")
     assert sorted(tuple(r) for r in left_dealt(odd, spark.createDataFrame([(None, 7), ("", 8)], "k string, v int"), "k", "event_id").select("event_id", "k", "v").collect()) == [(1, None, None), (2, "", 8), (3, "x", None)]
+
+
+def test_patterns_work_their_text_out_once_a_row(spark):
+    number = F.monotonically_increasing_id().cast("string")
+    rules = [("a", ["^5$"]), ("b", ["^1$"]), ("c", ["^2$"])]
+    assert spark.range(1).coalesce(1).select(classify.pattern_type(number, rules)).head()[0] is None
+
+
+def test_patterns_that_begin_words_find_the_same_together():
+    rng = random.Random(5)
+    tables = [p for rules in (R.REFINED_TYPES, R.CORRECTED, R.LOCAL_TYPES) for *_, p in rules] + [[r"\ba|b"], [r"\b\(x|y\)"], [r"\ba(b|c)d"]]
+    words = ["jazz", "techno", "abd", "(x", "y)", "xb", "hip hop", "&", "Opera", "r&b & hip", "rock-n", "play", "theatre", "90s", "bass"]
+    for _ in range(300):
+        text = rng.choice(["", " ", "-"]).join(rng.choices(words, k=rng.randint(1, 4)))
+        for parts in tables:
+            assert bool(re.search(classify._alternatives(parts), text)) == any(re.search("(?i)" + p, text) for p in parts), (parts, text)
+
+
+def test_only_artists_near_the_name_reach_python(spark):
+    rng = random.Random(6)
+    pick = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randint(1, 24)))
+    rows = [(a, "".join(c for c in a if rng.random() > 0.1) if rng.random() < 0.5 else pick()) for a in (pick() for _ in range(400))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", similarity.may_share(F.col("a"), F.col("b"), 0.85)).collect()
+    assert all(may for a, b, may in got if SequenceMatcher(None, a, b).ratio() > 0.85) and not all(may for *_, may in got)
+    events = df.select(F.monotonically_increasing_id().alias("event_id"), F.col("b").alias("name"), F.col("a").alias("artist_name"))
+    out = classify.cleaned_artists(events, df.select(F.lit("v").alias("venue_name")))
+    assert "seq_ratio(CASE WHEN" in out._jdf.queryExecution().optimizedPlan().toString()
+    like = {r["event_id"] for r in out.filter("reason = 'fuzzy_match_event_name'").collect()}
+    want = {r["event_id"] for r in events.collect() if (a := r["artist_name"].strip(" ")) and a != (n := r["name"].strip(" ")) and SequenceMatcher(None, a, n).ratio() > 0.85}
+    assert like == want
