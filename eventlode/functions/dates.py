@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventlode.functions.text import once
+
 #: English month names by their first three letters, and Hebrew ones.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 HEBREW_MONTHS = ["ינואר", "פברואר", "מרץ", "אפריל", "מאי", "יוני", "יולי", "אוגוסט", "ספטמבר", "אוקטובר", "נובמבר", "דצמבר"]
@@ -35,7 +37,10 @@ def day_first(text: Column, today: dt.date) -> Column:
 
 def month_name(text: Column, today: dt.date) -> Column:
     """"May 1st, 2026" or "1 May": a month name with a day on either side; without a year, this year's."""
-    plain = F.regexp_replace(F.lower(text), r"(\d)(?:st|nd|rd|th)\b", "$1")
+    return once(F.regexp_replace(F.lower(text), r"(\d)(?:st|nd|rd|th)\b", "$1"), lambda plain: _named_month(plain, today))
+
+
+def _named_month(plain: Column, today: dt.date) -> Column:
     names = "|".join(MONTHS)
     month_day = lambda i: F.regexp_extract(plain, rf"\b({names})[a-z]*\.?\s+(\d{{1,2}})\b(?:,?\s+(\d{{4}}))?", i)
     day_month = lambda i: F.regexp_extract(plain, rf"\b(\d{{1,2}})\s+({names})[a-z]*\.?(?:,?\s+(\d{{4}}))?", i)
@@ -70,8 +75,8 @@ def clock_12(text: Column) -> Column:
 
 def date_and_times(date_text: Column, time_text: Column, today: dt.date) -> Column:
     """struct(start_date, start_time, end_time): ISO, then month name, then day first; a date that is over is null, times have defaults."""
-    found = F.coalesce(iso_date(date_text), month_name(date_text, today), day_first(date_text, today))
-    return F.struct(F.when(found >= F.lit(today), found).alias("start_date"), F.coalesce(clock_12(time_text), F.lit(START_TIME)).alias("start_time"), F.lit(END_TIME).alias("end_time"))
+    found = once(date_text, lambda t: F.coalesce(iso_date(t), month_name(t, today), day_first(t, today)))
+    return F.struct(once(found, lambda d: F.when(d >= F.lit(today), d)).alias("start_date"), F.coalesce(clock_12(time_text), F.lit(START_TIME)).alias("start_time"), F.lit(END_TIME).alias("end_time"))
 
 
 def zulu(text: Column) -> Column:
@@ -97,7 +102,7 @@ def racing_years(month: Column, year: Column) -> Column:
 
 def any_date(text: Column, today: dt.date) -> Column:
     """The first reading that works: ISO, month name in either language, day first."""
-    return F.coalesce(iso_date(text), month_name(text, today), hebrew_date(text, today), day_first(text, today))
+    return once(text, lambda t: F.coalesce(iso_date(t), month_name(t, today), hebrew_date(t, today), day_first(t, today)))
 
 
 def clock(text: Column) -> Column:

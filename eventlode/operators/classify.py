@@ -6,7 +6,6 @@ Rule tables are parameters; those in use are in eventlode.functions.rule_tables.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +28,10 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where the value is worked out once a row however often it is used: functions over arrays would else do so per element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def keyword_types(text: Column, rules: Keywords) -> Column:
     """The types of all rules of which the text has a keyword, in order of the rules. The rules are one constant array."""
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for t, ks in rules for k in ks])
-    return once(text, lambda x: F.transform(F.filter(table, lambda r: F.contains(x, r["k"])), lambda r: r["t"]))
+    return T.once(text, lambda x: F.transform(F.filter(table, lambda r: F.contains(x, r["k"])), lambda r: r["t"]))
 
 
 def first_of(types: Column, existing: Column | None = None) -> Column:
@@ -49,7 +43,7 @@ def keyword_type(text: Column, rules: Keywords, existing: Column | None = None)
     """The first of these types. Without a list of those that exist, the rules after the first that matches are not looked at."""
     if existing is not None:
         return first_of(keyword_types(text, rules), existing)
-    return once(text, lambda x: F.coalesce(*[F.when(T.any_of([F.contains(x, F.lit(k)) for k in ks]), t) for t, ks in rules]))
+    return T.once(text, lambda x: F.coalesce(*[F.when(T.any_of([F.contains(x, F.lit(k)) for k in ks]), t) for t, ks in rules]))
 
 
 def pattern(parts: list[str]) -> str:
@@ -58,7 +52,7 @@ def pattern(parts: list[str]) -> str:
 
 def pattern_type(text: Column, rules: list[tuple]) -> Column:
     """The type (last but one of each rule's fields) of the first rule of which a pattern is found; case does not count."""
-    return once(text, lambda x: F.coalesce(*[F.when(x.rlike(_alternatives(parts)), name) for *_, name, parts in rules]))
+    return T.once(text, lambda x: F.coalesce(*[F.when(x.rlike(_alternatives(parts)), name) for *_, name, parts in rules]))
 
 
 def _alternatives(parts: list[str]) -> str:

@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from eventlode.functions import dates
 from eventlode.functions import rule_tables as R
 from eventlode.operators import classify, rollup, similarity, writes
 from eventlode.operators.dealt import left_dealt
@@ -86,3 +87,9 @@ def test_only_artists_near_the_name_reach_python(spark):
     like = {r["event_id"] for r in out.filter("reason = 'fuzzy_match_event_name'").collect()}
     want = {r["event_id"] for r in events.collect() if (a := r["artist_name"].strip(" ")) and a != (n := r["name"].strip(" ")) and SequenceMatcher(None, a, n).ratio() > 0.85}
     assert like == want
+
+
+def test_dates_work_their_text_out_once_a_row(spark):
+    n = F.monotonically_increasing_id()  # a text without a date at first, another one whenever it is evaluated again
+    text = F.when(n == 0, "nothing").otherwise("3.4.2025")
+    assert spark.range(1).coalesce(1).select(dates.any_date(text, dt.date(2024, 1, 1))).head()[0] is None
