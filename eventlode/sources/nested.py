@@ -66,13 +66,15 @@ def channels(broadcasts: Column, regional: Column, country: Column) -> Column:
     first = F.coalesce(F.transform(plain, lambda n: row(n, F.lit("national"), F.lit("TV"))), nothing)
     second = F.coalesce(F.transform(rich, lambda g: row(g["media"]["shortName"], F.lower(F.coalesce(g["market"]["type"], F.lit("National"))), F.coalesce(g["type"]["shortName"], F.lit("TV")))), nothing)
     every = F.filter(F.concat(first, second), lambda c: ~T.blank(c["channel"]))
-    names = F.transform(every, lambda c: c["channel"])
-    return F.filter(every, lambda c, i: F.array_position(names, c["channel"]) == i + 1)
+    return T.once(every, lambda e: T.once(F.transform(e, lambda c: c["channel"]), lambda names: F.filter(e, lambda c, i: F.array_position(names, c["channel"]) == i + 1)))
 
 
 def sides(competitors: Column) -> Column:
     """struct(home, away): by the homeAway mark, else by position; null unless both are named."""
-    c = F.from_json(competitors, "array<struct<homeAway:string,team:struct<displayName:string>>>")
+    return T.once(F.from_json(competitors, "array<struct<homeAway:string,team:struct<displayName:string>>>"), _two_sides)
+
+
+def _two_sides(c: Column) -> Column:
     pick = lambda mark, i: F.coalesce(F.get(F.filter(c, lambda x: x["homeAway"] == mark), F.lit(0)), F.get(c, F.lit(i)))["team"]["displayName"]
     home, away = F.nullif(pick("home", 0), F.lit("")), F.nullif(pick("away", 1), F.lit(""))
     return F.when((F.size(c) >= 2) & home.isNotNull() & away.isNotNull(), F.struct(home.alias("home"), away.alias("away")))

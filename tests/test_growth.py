@@ -13,6 +13,7 @@ from eventlode.functions import dates
 from eventlode.functions import rule_tables as R
 from eventlode.operators import classify, rollup, similarity, writes
 from eventlode.operators.dealt import left_dealt
+from eventlode.sources import nested
 
 RULES = [("a", ["0"]), ("b", ["1"]), ("c", ["2"])]
 
@@ -93,3 +94,12 @@ def test_dates_work_their_text_out_once_a_row(spark):
     n = F.monotonically_increasing_id()  # a text without a date at first, another one whenever it is evaluated again
     text = F.when(n == 0, "nothing").otherwise("3.4.2025")
     assert spark.range(1).coalesce(1).select(dates.any_date(text, dt.date(2024, 1, 1))).head()[0] is None
+
+
+def test_channels_and_sides_read_their_lists_once_a_row(spark):
+    n = F.monotonically_increasing_id().cast("string")
+    one = lambda k: F.concat(F.lit('[{"names": ["'), k, F.lit('", "x"]}]'))
+    team = lambda name: F.concat(F.lit('{"team": {"displayName": "'), name, F.lit('"}}'))
+    both = F.concat(F.lit("["), team(n), F.lit(", "), team(F.lit("x")), F.lit("]"))
+    row = spark.range(1).coalesce(1).select(nested.channels(one(n), F.lit("[]"), F.lit("US"))["channel"].alias("c"), nested.sides(both).alias("s")).head()
+    assert row["c"] == ["0", "x"] and row["s"]["home"] == "0"
