@@ -59,10 +59,14 @@ def test_rows_without_a_key_are_spread(spark):
     assert sorted(tuple(r) for r in left_dealt(odd, spark.createDataFrame([(None, 7), ("", 8)], "k string, v int"), "k", "event_id").select("event_id", "k", "v").collect()) == [(1, None, None), (2, "", 8), (3, "x", None)]
 
 
+def _uses(spark, value) -> int:
+    """How often the plan of the value has the number that stands for its text."""
+    return spark.range(1).select(value.alias("v"))._jdf.queryExecution().optimizedPlan().toString().count("monotonically_increasing_id")
+
+
 def test_patterns_work_their_text_out_once_a_row(spark):
     number = F.monotonically_increasing_id().cast("string")
-    rules = [("a", ["^5$"]), ("b", ["^1$"]), ("c", ["^2$"])]
-    assert spark.range(1).coalesce(1).select(classify.pattern_type(number, rules)).head()[0] is None
+    assert _uses(spark, classify.pattern_type(number, [("a", ["^5$"]), ("b", ["^1$"]), ("c", ["^2$"])])) == 1
 
 
 def test_patterns_that_begin_words_find_the_same_together():
@@ -91,15 +95,10 @@ def test_only_artists_near_the_name_reach_python(spark):
 
 
 def test_dates_work_their_text_out_once_a_row(spark):
-    n = F.monotonically_increasing_id()  # a text without a date at first, another one whenever it is evaluated again
-    text = F.when(n == 0, "nothing").otherwise("3.4.2025")
-    assert spark.range(1).coalesce(1).select(dates.any_date(text, dt.date(2024, 1, 1))).head()[0] is None
+    assert _uses(spark, dates.any_date(F.monotonically_increasing_id().cast("string"), dt.date(2024, 1, 1))) == 1
 
 
 def test_channels_and_sides_read_their_lists_once_a_row(spark):
     n = F.monotonically_increasing_id().cast("string")
-    one = lambda k: F.concat(F.lit('[{"names": ["'), k, F.lit('", "x"]}]'))
-    team = lambda name: F.concat(F.lit('{"team": {"displayName": "'), name, F.lit('"}}'))
-    both = F.concat(F.lit("["), team(n), F.lit(", "), team(F.lit("x")), F.lit("]"))
-    row = spark.range(1).coalesce(1).select(nested.channels(one(n), F.lit("[]"), F.lit("US"))["channel"].alias("c"), nested.sides(both).alias("s")).head()
-    assert row["c"] == ["0", "x"] and row["s"]["home"] == "0"
+    assert _uses(spark, nested.channels(n, F.lit("[]"), F.lit("US"))) == 1
+    assert _uses(spark, nested.sides(n)) == 1
