@@ -20,6 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from eventlode.operators import similarity
+from eventlode.operators.landed import landed, shared_folder
 from eventlode.operators.similarity import seq_ratio
 
 LEAST = 0.8
@@ -56,7 +57,7 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows, cut from their lineage in the shared folder."""
     sc, spark = df.sparkSession.sparkContext, df.sparkSession
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -189,7 +190,9 @@ SMALL_BLOCK = 200
 
 def _split(df: DataFrame, block: list[str], name: str, most: int) -> DataFrame | None:
     """The blocks with more than `most` different names, or None if there are none."""
-    names = df.select(*block, F.lower(F.coalesce(F.col(name), F.lit(""))).alias("_name")).dropna(subset=block).distinct()
+    # few blocks have so many rows, and only those are looked through for different names
+    full = df.dropna(subset=block).groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(*block)
+    names = df.join(full, block, "left_semi").select(*block, F.lower(F.coalesce(F.col(name), F.lit(""))).alias("_name")).distinct()
     large = settled(names.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(*block))
     return None if large.isEmpty() else large
 
@@ -205,6 +208,7 @@ def clustered(df: DataFrame, block: list[str], id_col: str, name: str, least: fl
 
 def surviving(df: DataFrame, block: list[str], order: str, name: str, is_new: str, least: float = 0.85, most: int = SMALL_BLOCK) -> DataFrame:
     """survivors by the way that fits each block: whole in one task up to `most` names, by pairs beyond."""
+    df = landed(df.select(*block, order, name, is_new))
     large = _split(df, block, name, most) if least >= LEAST else None
     if large is None:
         return similarity.survivors(df, block, order, name, is_new, least)

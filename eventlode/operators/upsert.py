@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlode.functions.text import blank
+from eventlode.operators.landed import landed
 
 
 def upsert(current: DataFrame, delta: DataFrame, key: list[str], backfill: list[str] = (), overwrite: list[str] = ()) -> DataFrame:
@@ -60,12 +59,8 @@ def numbered(new: DataFrame, current: DataFrame, id_col: str, order: list[str],
     """
     top = current.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
     # both uses must see the same ranges, which are drawn from a sample: one relation in the shared folder gives them
-    session = new.sparkSession
-    folder = session.sparkContext.getCheckpointDir() or session.conf.get("spark.checkpoint.dir", None) or session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    path = f"{folder.rstrip('/')}/numbered-{uuid.uuid4().hex}"
     spread = (ranges, *order) if ranges else order
-    new.repartitionByRange(*spread).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    ranged = session.read.parquet(path)
+    ranged = landed(new.repartitionByRange(*spread).withColumn("_part", F.spark_partition_id()))
     own = Window.partitionBy("_part").orderBy(*order)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlode.functions import text as T
 from eventlode.operators import export, resolve, writes
+from eventlode.operators.landed import landed
 from eventlode.plans.book import Book
 from eventlode.plans.search import bound
 from eventlode.sources import bind
@@ -242,7 +243,7 @@ def d04_merged_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add()
 def q18_dedup_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The duplicates job with its counts beside each event; greedy order has no SQL, tests hold it."""
-    kept, counts = resolve.dedup(_dupes(spark, sf_dir))
+    kept, counts = resolve.dedup(landed(_dupes(spark, sf_dir)))
     return kept.crossJoin(F.broadcast(counts)).select("event_id", "price", "artist_name", "groups_checked", "duplicates_removed")
 
 

@@ -7,14 +7,17 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventlode.functions import dates
 from eventlode.functions import rule_tables as R
-from eventlode.operators import classify, rollup, similarity, writes
+from eventlode.operators import classify, resolve, rollup, similarity, writes
 from eventlode.operators.dealt import left_dealt
+from eventlode.plans import registry
 from eventlode.sources import nested
 
+SF = "/root/testdata/sf0.001"
 RULES = [("a", ["0"]), ("b", ["1"]), ("c", ["2"])]
 
 
@@ -103,3 +106,20 @@ def test_channels_and_sides_read_their_lists_once_a_row(spark):
     n = F.monotonically_increasing_id().cast("string")
     assert _uses(spark, nested.channels(n, F.lit("[]"), F.lit("US"))) == 1
     assert _uses(spark, nested.sides(n)) == 1
+
+
+@pytest.mark.parametrize("query", ["q18_dedup_job"])
+def test_jobs_derive_their_events_once(spark, query):
+    """What the steps of a job share is written once; before, each step joined the lines and orders again."""
+    read = registry.queries()[query](spark, SF).inputFiles()
+    assert read and not any(f.endswith(("lineitem.parquet", "orders.parquet")) for f in read)
+
+
+def test_only_clusters_of_several_events_are_merged(spark):
+    """An event that has no duplicate passes as it is; before, all events were sorted by cluster and merged."""
+    rows = [(1, 1, "Jazz night", None), (2, 1, "Jazz nights", "L2"), (3, 1, "Opera", None), (4, None, "Jazz night", "L4"), (5, 2, "Jazz night", "")]
+    events = spark.createDataFrame(rows, "event_id long, venue_id long, name string, purchase_link string").selectExpr("*", "date'2024-01-01' AS start_date", "'other' AS scrape_source", "0.0D AS price", "CAST(NULL AS string) AS price_currency", "CAST(NULL AS string) AS image_url", "CAST(NULL AS string) AS start_time", "CAST(NULL AS string) AS artist_name", "'d' AS description")
+    kept, counts = resolve.dedup(events)
+    assert sorted((r["event_id"], r["purchase_link"]) for r in kept.collect()) == [(2, "L2"), (3, None), (4, "L4"), (5, "")]
+    assert [tuple(r) for r in counts.collect()] == [(1, 1)]
+    assert "Union" in kept._jdf.queryExecution().optimizedPlan().toString()
