@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventlode.functions import dates, names
 from eventlode.functions import text as T
 from eventlode.operators import classify, dealt, fuzzy, upsert, writes
+from eventlode.operators.landed import landed
 from eventlode.plans.book import Book
 from eventlode.plans.search import bound
 from eventlode.sources import bind
@@ -39,9 +40,9 @@ def ingest(events: DataFrame, raw: DataFrame, arrival: str = "arrival", least: f
     rows = split_titles(raw).filter(F.col("start_date").isNotNull())
     key = ["source", "source_id"]
     filled = ["price", "start_time", "end_time"]
-    delta = upsert.fold_delta(rows, key, arrival).join(rows.groupBy(*key).agg(F.min(arrival).alias(arrival)), key)
+    delta = landed(upsert.fold_delta(rows, key, arrival).join(rows.groupBy(*key).agg(F.min(arrival).alias(arrival)), key))
     known = delta.join(events.select(*key), key, "left_semi")
-    new = delta.join(events.select(*key), key, "left_anti")
+    new = landed(delta.join(events.select(*key), key, "left_anti"))
     # stored rows before new ones, and only those of the blocks that new rows come to
     old_rank = events.select("name", "venue_name", "start_date", F.col("event_id").alias("_order"), F.lit(False).alias("_new"))
     new_rank = new.select("name", "venue_name", "start_date", F.col(arrival).alias("_order"), F.lit(True).alias("_new"))
@@ -196,10 +197,10 @@ def q19_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the derived events as stored, all of them as new records; greedy order has no SQL, tests hold it."""
     c = bound(spark, sf_dir)
     first = c.bridge.groupBy("event_id").agg(F.min("type_id").alias("type_id"))
-    rows = c.events.join(first, "event_id").join(c.types, "type_id").join(c.venues, "venue_id").select(
+    rows = landed(c.events.join(first, "event_id").join(c.types, "type_id").join(c.venues, "venue_id").select(
         "event_id", F.col("scrape_source").alias("source"), F.col("event_id").cast("string").alias("source_id"), F.col("type_name").alias("name"), "venue_name", "start_date",
         F.when(F.col("event_id") % 3 == 0, "20:00").alias("start_time"), F.lit(None).cast("date").alias("end_date"), F.lit(None).cast("string").alias("end_time"), "price",
-    )
+    ))
     stored = rows.filter("event_id % 2 = 0").withColumn("price", F.when(F.col("event_id") % 4 == 0, F.col("price")))
     return ingest(stored, rows.withColumn("arrival", F.col("event_id")).drop("event_id"))
 

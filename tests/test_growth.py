@@ -14,7 +14,7 @@ from eventlode.functions import dates
 from eventlode.functions import rule_tables as R
 from eventlode.operators import classify, resolve, rollup, similarity, writes
 from eventlode.operators.dealt import left_dealt
-from eventlode.plans import registry
+from eventlode.plans import ingest, registry
 from eventlode.sources import nested
 
 SF = "/root/testdata/sf0.001"
@@ -108,13 +108,22 @@ def test_channels_and_sides_read_their_lists_once_a_row(spark):
     assert _uses(spark, nested.sides(n)) == 1
 
 
-@pytest.mark.parametrize("query", ["q18_dedup_job"])
+@pytest.mark.parametrize("query", ["q18_dedup_job", "q19_ingest"])
 def test_jobs_derive_their_events_once(spark, query):
     """What the steps of a job share is written once; before, each step joined the lines and orders again."""
     read = registry.queries()[query](spark, SF).inputFiles()
     assert read and not any(f.endswith(("lineitem.parquet", "orders.parquet")) for f in read)
 
 
+def test_an_ingest_folds_its_records_once(spark):
+    number = F.monotonically_increasing_id().cast("string")
+    stored = spark.createDataFrame([(1, "s", "0", "A", "V", dt.date(2024, 1, 1), None, None, None, None)], "event_id long, source string, source_id string, name string, venue_name string, start_date date, start_time string, end_date date, end_time string, price double")
+    raw = spark.range(0, 3, 1, 1).select(F.col("id").alias("arrival"), F.lit("s").alias("source"), number.alias("source_id"), F.lit("B").alias("name"), F.lit("W").alias("venue_name"), F.lit(dt.date(2024, 1, 1)).alias("start_date"), F.lit(None).cast("string").alias("start_time"), F.lit(None).cast("date").alias("end_date"), F.lit(None).cast("string").alias("end_time"), F.lit(1.0).alias("price"))
+    out = ingest.ingest(stored, raw)
+    assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["event_id"], r["name"], r["price"]) for r in out.collect()) == [(1, "A", 1.0), (2, "B", 1.0)]
+
+
 def test_only_clusters_of_several_events_are_merged(spark):
     """An event that has no duplicate passes as it is; before, all events were sorted by cluster and merged."""
     rows = [(1, 1, "Jazz night", None), (2, 1, "Jazz nights", "L2"), (3, 1, "Opera", None), (4, None, "Jazz night", "L4"), (5, 2, "Jazz night", "")]
