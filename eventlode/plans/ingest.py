@@ -147,10 +147,10 @@ def ingested(events: DataFrame, raw: DataFrame, venues: DataFrame, performers: D
     Rows of a key fold in order of arrival, and whether a new key is dropped is decided by its first row: its name, venue and day are
     taken to be one within a batch. Records without a key are ignored.
     """
-    keyed = fuzzy.settled(folded(split_titles(raw).filter(F.col("start_date").isNotNull()), arrival))
+    keyed = landed(folded(split_titles(raw).filter(F.col("start_date").isNotNull()), arrival))
     stored_keys = events.select(*KEY, F.col("start_time").alias("_stored_start"))
     delta = _delta(keyed.join(stored_keys, KEY), arrival)
-    new = keyed.join(stored_keys, KEY, "left_anti")
+    new = landed(keyed.join(stored_keys, KEY, "left_anti"))
 
     mine = new.select(F.col("first.name").alias("name"), F.col("first.venue_name").alias("venue_name"), F.col("first.start_date").alias("start_date"), F.col(f"first.{arrival}").alias("_order"), F.lit(True).alias("_new"))
     old = events.select("name", "venue_name", "start_date", F.col("event_id").alias("_order"), F.lit(False).alias("_new"))
@@ -159,7 +159,7 @@ def ingested(events: DataFrame, raw: DataFrame, venues: DataFrame, performers: D
     arrived = new.withColumn("_order", F.col(f"first.{arrival}")).join(fresh, "_order", "left_semi")
 
     rows = upsert.numbered(arrived.select("_order", *KEY, "first", "_price", "_start", "_start_at", "_end", "_end_at", "_sport_name", "_sport", "_channels", "_link"), events, "event_id", ["_order"])
-    rows = fuzzy.settled(rows)
+    rows = landed(rows)
     all_venues = placed_venues(rows.select("first.*"), venues, city, arrival)
     own = all_venues.filter(F.col("city_id") == city.city_id).groupBy("venue_name").agg(F.min(F.struct("venue_id", "default_type")).alias("_v"))
     rows = dealt.left_dealt(rows.withColumn("_name", F.col("first.venue_name")), own.withColumnRenamed("venue_name", "_name"), "_name", "event_id")
@@ -219,7 +219,7 @@ def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Ingested]:
     sup = bind.table(spark, sf_dir, "supplier")
     no = lambda kind: F.lit(None).cast(kind)
     match = bind.match_ups(spark, sf_dir)
-    base = c.events.join(match, "event_id").join(c.venues.select("venue_id", "venue_name"), "venue_id").join(bind.event_artists(spark, sf_dir), "event_id", "left")
+    base = landed(c.events.join(match, "event_id").join(c.venues.select("venue_id", "venue_name"), "venue_id").join(bind.event_artists(spark, sf_dir), "event_id", "left"))
     common = {"source": F.col("scrape_source"), "source_id": i.cast("string"), "name": F.col("event_name"), "artist_youtube_channel": no("string"), "purchase_link": no("string"), "price_currency": F.lit("USD"), "description": no("string"), "image_url": no("string"), "is_online": F.lit(False), "tv_channels": no("array<string>"), "end_date": no("date")}
     rows = base.withColumns(common)
     stored = rows.filter("event_id % 2 = 0").withColumns({"price": F.when(i % 4 == 0, F.col("price")), "start_time": F.when(i % 3 == 0, "20:00"), "end_time": F.when(i % 5 == 0, "23:00")}).select("event_id", *KEY, *EVENT)

@@ -108,7 +108,7 @@ def test_channels_and_sides_read_their_lists_once_a_row(spark):
     assert _uses(spark, nested.sides(n)) == 1
 
 
-@pytest.mark.parametrize("query", ["q18_dedup_job", "q19_ingest"])
+@pytest.mark.parametrize("query", ["q18_dedup_job", "q19_ingest", "q19_ingest_known"])
 def test_jobs_derive_their_events_once(spark, query):
     """What the steps of a job share is written once; before, each step joined the lines and orders again."""
     read = registry.queries()[query](spark, SF).inputFiles()
