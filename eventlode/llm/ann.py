@@ -5,9 +5,10 @@ the smallest angle; queries get a zero. Trees are fitted on a bounded sample: ea
 at the median of their projections on a random direction through two of them. Every row of the table is
 then routed to its leaf in each tree. A query takes leaves from all trees through one priority queue, nearest
 cell first, until it has `leaves` of them; their number is set by measuring (calibrated), so that recall does not hang on how the
-vectors lie. Queries meet the rows of their leaves in a join by (tree, leaf);
-a leaf's rows are dealt out in blocks of bounded size, and each block answers with its best rows only,
-by exact inner products in double precision. The best of a query's blocks are its result.
+vectors lie. Leaves are dealt out to a fixed number of bundles, and queries meet the rows of their leaves in a join by bundle;
+a bundle's rows are dealt out in blocks of bounded size, and each block answers with the best rows of all leaves that the query asks of
+it only, by exact inner products in double precision. The best of a query's blocks are its result. So what a query is answered grows
+with its leaves only until it asks something of every bundle.
 
 Equal vectors are grouped first: ties go to the smaller id, so of one vector no more than the k + 1
 smallest ids can be in any result, and a vector that many rows share weighs no more than those. Queries with equal
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from eventlode.llm.common import cut
 
 K, TREES, SAMPLE, LEAF, BLOCK, SEED = 20, 4, 40_000, 160, 4_000, 7
+#: Groups that the leaves of all trees are dealt out to.
+BUNDLES = 64
 #: Vectors that the number of leaves is set by, and the share of their true neighbours that is to be found.
 PROBES, RECALL = 64, 0.95
 
@@ -126,7 +129,8 @@ def _place(shared, norm: float):
             for t, tree in enumerate(shared.value):
                 n = batch.num_rows
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(route(tree, x)), batch.column(0), batch.column(1)], names=["tree", "leaf", "v", "vec"])
+                    leaf = route(tree, x) * len(shared.value) + t
+                    yield pa.RecordBatch.from_arrays([pa.array((leaf % BUNDLES).astype(np.int32)), pa.array(leaf), batch.column(0), batch.column(1)], names=["bundle", "leaf", "v", "vec"])
 
     return run
 
@@ -135,10 +139,14 @@ def _ask(shared, norm: float, leaves: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = np.hstack([_matrix(batch.column(1)), np.zeros((batch.num_rows, 1))]) if batch.num_rows else []
-            places = [(i, t, leaf) for i, row in enumerate(q) for t, leaf in nearest_leaves(shared.value, row * (norm / np.linalg.norm(row)), leaves)]
-            if places:
-                i, t, leaf = (np.asarray(c, np.int64) for c in zip(*places, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(leaf), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], names=["tree", "leaf", "q", "vec"])
+            asked: dict[tuple[int, int], list[int]] = {}
+            for i, row in enumerate(q):
+                for t, leaf in nearest_leaves(shared.value, row * (norm / np.linalg.norm(row)), leaves):
+                    number = leaf * len(shared.value) + t
+                    asked.setdefault((i, number % BUNDLES), []).append(number)
+            if asked:
+                i, bundle = (np.asarray(c, np.int64) for c in zip(*asked, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(bundle.astype(np.int32)), pa.array(list(asked.values()), pa.list_(pa.int64())), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], names=["bundle", "leaves", "q", "vec"])
 
     return run
 
@@ -147,16 +155,20 @@ def _best(k: int):
     def run(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if queries.num_rows and rows.num_rows:
-            x, v = _matrix(rows["vec"].combine_chunks()), rows["v"].to_numpy()
+            leaf = rows["leaf"].to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            leaf, v, x = leaf[order], rows["v"].to_numpy()[order], _matrix(rows["vec"].combine_chunks())[order]
             q, ids = _matrix(queries["vec"].combine_chunks()), queries["q"].to_numpy()
-            for at in range(0, len(q), 256):
-                s = q[at : at + 256] @ x.T
-                for i in range(len(s)):
-                    # all that reach the k-th score stay, so that ties are settled by id later
-                    top = np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k]) if s.shape[1] > k else np.arange(s.shape[1])
-                    out_q.append(np.full(len(top), ids[at + i]))
-                    out_v.append(v[top])
-                    out_s.append(s[i][top])
+            for i, own in enumerate(queries["leaves"].to_pylist()):
+                ends = zip(np.searchsorted(leaf, own), np.searchsorted(leaf, own, "right"), strict=True)
+                met = np.concatenate([np.arange(a, b) for a, b in ends])
+                met = met[np.unique(v[met], return_index=True)[1]]  # a row lies in a leaf of each tree
+                s = x[met] @ q[i]
+                # all that reach the k-th score stay, so that ties are settled by id later
+                top = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                out_q.append(np.full(len(top), ids[i]))
+                out_v.append(v[met[top]])
+                out_s.append(s[top])
         cat = lambda a, t: np.concatenate(a) if a else np.empty(0, t)
         return pa.table({"q": cat(out_q, np.int64), "v": cat(out_v, np.int64), "s": cat(out_s, np.float64)})
 
@@ -241,14 +253,14 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", every
     if leaves is None:
         leaves, _ = calibrated(reps, forest, norm, k, PROBES, RECALL, seed)
     shared = spark.sparkContext.broadcast(forest)
-    rows = cut(reps.select("v", "vec").mapInArrow(_place(shared, norm), "tree int, leaf long, v long, vec array<double>"))
+    rows = cut(reps.select("v", "vec").mapInArrow(_place(shared, norm), "bundle int, leaf long, v long, vec array<double>"))
     asked = reps.join(queries.select(F.col("q").alias("v")).distinct(), "v").select(F.col("v").alias("q"), "vec")
-    asks = asked.mapInArrow(_ask(shared, norm, leaves), "tree int, leaf long, q long, vec array<double>")
-    # leaves in blocks: rows go to one block, queries to all blocks of the leaf
-    blocks = rows.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    asks = asks.join(blocks, ["tree", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tree", "leaf", "block", "q", "vec")
-    rows = rows.join(blocks, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("tree", "leaf", "block", "v", "vec")
-    found = asks.groupBy("tree", "leaf", "block").cogroup(rows.groupBy("tree", "leaf", "block")).applyInArrow(_best(k + 1), "q long, v long, s double")
+    asks = asked.mapInArrow(_ask(shared, norm, leaves), "bundle int, leaves array<long>, q long, vec array<double>")
+    # bundles in blocks: rows go to one block, queries to all blocks of the bundle
+    blocks = rows.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    asks = asks.join(blocks, "bundle").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bundle", "block", "leaves", "q", "vec")
+    rows = rows.join(blocks, "bundle").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("bundle", "block", "leaf", "v", "vec")
+    found = asks.groupBy("bundle", "block").cogroup(rows.groupBy("bundle", "block")).applyInArrow(_best(k + 1), "q long, v long, s double")
     best = found.groupBy("q", "v").agg(F.max("s").alias("s"))
     # the k + 1 best vectors of a query vector hold the k best rows of each query
     top = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).filter(F.col("r") <= k + 1).select("q", "v", "s")

@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -111,3 +112,18 @@ def test_pipeline_applies_its_stages_in_turn(spark, sf):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert set(pieces.doc_id) == {r.doc_id for r in docs.collect()}
     assert pieces.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_a_block_answers_with_the_best_of_all_leaves_asked_of_it():
+    """One answer of k rows per query and block, whatever the number of leaves; before, each leaf gave its own."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8))
+    rows = pa.table({"leaf": np.concatenate([np.repeat(np.arange(10), 40), np.tile(np.arange(10, 20), 40)]), "v": np.tile(np.arange(400), 2), "vec": pa.array([*x.tolist(), *x.tolist()])})
+    asked = [[0, 3, 7, 12], [5], [99]]
+    queries = pa.table({"leaves": pa.array(asked, pa.list_(pa.int64())), "q": [0, 1, 2], "vec": pa.array(rng.standard_normal((3, 8)).tolist())})
+    out = ann._best(6)((0, 0), queries, rows).to_pylist()
+    leaf, v = rows["leaf"].to_numpy(), rows["v"].to_numpy()
+    for i, own in enumerate(asked):
+        scores = {int(c): float(x[c] @ np.asarray(queries["vec"][i].as_py())) for c in v[np.isin(leaf, own)]}
+        assert {r["v"] for r in out if r["q"] == i} == set(sorted(scores, key=scores.get)[-6:])
+    assert len(out) == 12
