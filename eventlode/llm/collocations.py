@@ -6,9 +6,10 @@ longest grams are counted in the corpus, one at every word, together with the sh
 off. The count of any shorter phrase is the flow through its node: the sum of all counted grams that begin with it,
 the cut ones included. Each level is summed from the one above it.
 
-A phrase can only be as frequent as its rarest word or pair, so words and pairs are counted first and a piece also ends at a
-word, and between the words of a pair, that occurs less often than a candidate must. Which ones those are is told by a
-bitmap of fixed size whose errors only let more through, so no phrase is lost and what is broadcast does not grow with the data.
+A phrase can only be as frequent as its rarest word, pair or run of three words, so these are counted first, by hash, each among what the
+ones before it leave. A piece also ends at a word, and a gram before the last word of a pair or run of three, that occurs less often than a candidate
+must. Which ones those are is told by bitmaps of fixed size whose errors only let more through, so no phrase is lost and what is broadcast does not
+grow with the data. As the least count is fixed, more of a larger corpus passes; no step makes more than one row for each word.
 
 Unary paths, nodes whose whole flow comes over one edge and leaves over one edge, are compacted by pointer doubling into
 the longest phrases that always stand together.
@@ -37,6 +38,8 @@ from eventlode.llm.hashing import LOWER, STEP, mixed, runs
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 #: Bits of each bitmap, and how many of them a key sets: 4 MB, under 5% wrongly let through with four million keys.
 BITMAP_BITS, BITMAP_KEYS = 1 << 25, 2
+#: Words of the longest runs that are counted by hash before grams are.
+TOLD = 3
 #: Rows held by a task before they are combined and leave it.
 HELD = 1 << 20
 #: Shares that a language's best rows are ranked in before the best of each are ranked together.
@@ -167,18 +170,26 @@ def bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> Bitmap:
     return Bitmap([(r["b"], bytes(r["own"])) for r in blocks.collect()], bits)
 
 
-def _kept_pairs(h: np.ndarray, begins: np.ndarray, words: Bitmap, pairs: Bitmap | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all pairs of neighbours, and which of them may be frequent."""
+def _kept_runs(h: np.ndarray, begins: np.ndarray, words: Bitmap, told: list[Bitmap]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For pairs of neighbours, runs of three words and so on: hashes, and which of them may be frequent.
+
+    told: bitmaps of frequent pairs, runs of three and so on. The last entry is of runs one word longer than these tell of.
+    """
     ok = words.has(h)
     hashes = mixed(h[:-1] * PRIME + h[1:])
     kept = ok[:-1] & ok[1:] & ~begins[1:]
-    if pairs is not None:
+    found = [(hashes, kept)]
+    for size, frequent in enumerate(told, 3):
         at = np.flatnonzero(kept)
-        kept[at[~pairs.has(hashes[at])]] = False
-    return hashes, kept
+        kept[at[~frequent.has(hashes[at])]] = False
+        hashes, kept = mixed(hashes[:-1] * PRIME + h[size - 1 :]), kept[:-1] & kept[1:]
+        found.append((hashes, kept))
+    return found
 
 
-def _count_pairs(words):
+def _count_runs(words, told: list):
+    """k, n: hashes of the runs that `told` leaves, which are one word longer than the longest of these, combined within the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -193,7 +204,7 @@ def _count_pairs(words):
             _, _, h, begins = _words(block, salt_of(lang))
             if len(h) < 2:
                 continue
-            hashes, kept = _kept_pairs(h, begins, words.value, None)
+            hashes, kept = _kept_runs(h, begins, words.value, [t.value for t in told])[-1]
             held.append(np.unique(hashes[kept], return_counts=True))
             size += len(held[-1][0])
             if size > 2 * HELD:
@@ -205,26 +216,26 @@ def _count_pairs(words):
     return run
 
 
-def grams(h: np.ndarray, joined: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(h: np.ndarray, kept: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
     """The gram that begins at each word whose pair with the next is kept, and its number of words.
 
-    joined: for each word but the last, whether a gram may go on to the next one. A gram ends after `longest` words or where
-    none is joined; words beyond its end are 0.
+    kept: for the place where each pair, each run of three words and so on begins, whether it may be frequent. A gram ends after `longest`
+    words or where the longest of these runs that ends at the next word, within the gram, is not kept; words beyond its end are 0.
     """
-    at = np.flatnonzero(joined)
+    at = np.flatnonzero(kept[0])
     rows = np.zeros((len(at), longest), np.uint64)
     rows[:, 0] = h[at]
     n, on = np.ones(len(at), np.int64), np.ones(len(at), bool)
-    joined = np.concatenate([joined, [False]])
+    kept = [np.concatenate([k, np.zeros(len(h) - len(k), bool)]) for k in kept]
     for k in range(1, longest):
-        place = np.minimum(at + k, len(h) - 1)
-        on = on & joined[np.minimum(at + k - 1, len(h) - 1)]
-        rows[on, k] = h[place[on]]
+        size = min(k + 1, len(kept) + 1)
+        on = on & kept[size - 2][np.minimum(at + k + 1 - size, len(h) - 1)]
+        rows[on, k] = h[at[on] + k]
         n += on
     return rows, n
 
 
-def _count_grams(words, pairs, longest: int):
+def _count_grams(words, told: list, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -235,8 +246,10 @@ def _count_grams(words, pairs, longest: int):
             _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             return rows[first], counts[first], np.bincount(inverse, n, len(first)).astype(np.int64)
 
-        def flush():
-            rows, counts, n = combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        def together():
+            return combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        def batched(rows, counts, n):
             order = np.lexsort((rows[:, 1], rows[:, 0]))
             rows, counts, n = rows[order], counts[order], n[order]
             for at in range(0, len(n), 1 << 16):
@@ -248,15 +261,18 @@ def _count_grams(words, pairs, longest: int):
             _, _, h, begins = _words(block, salt_of(lang))
             if len(h) < 2:
                 continue
-            _, kept = _kept_pairs(h, begins, words.value, pairs.value)
+            kept = [k for _, k in _kept_runs(h, begins, words.value, [t.value for t in told])[: len(told)]]
             rows, counts = grams(h, kept, longest)
             held.append(combined(rows, counts, np.ones(len(counts), np.int64)))
             size += len(held[-1][2])
             if size > HELD // 2:
-                yield from flush()
-                held, size = [], 0
+                held = [together()]
+                size = len(held[0][2])
+                if size > HELD // 4:  # little of it repeats: more of it would not either
+                    yield from batched(*held[0])
+                    held, size = [], 0
         if held:
-            yield from flush()
+            yield from batched(*together())
 
     return run
 
@@ -315,7 +331,7 @@ class Graph:
 
 
 def graph(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = MIN_COUNT, bits: int = BITMAP_BITS) -> Graph:
-    """Counts words, then pairs of frequent words, then the grams that go through frequent pairs only."""
+    """Counts words, then pairs of frequent words, then runs of three words of frequent pairs, then the grams that go through frequent ones only."""
     sc = df.sparkSession.sparkContext
     rows = df.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     found = rows.mapInArrow(_count_words, "h long, lang string, n long")
@@ -323,10 +339,12 @@ def graph(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     words = counted.filter(F.col("n") >= least)
     of_words = sc.broadcast(bitmap(words, "h", bits))
-    pairs = rows.mapInArrow(_count_pairs(of_words), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    of_pairs = sc.broadcast(bitmap(pairs, "k", bits))
+    told: list = []
+    for _ in range(2, min(longest, TOLD) + 1):
+        runs_of = rows.mapInArrow(_count_runs(of_words, [*told]), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        told.append(sc.broadcast(bitmap(runs_of, "k", bits)))
     names = _names(longest)
-    edges = rows.mapInArrow(_count_grams(of_words, of_pairs, longest), ", ".join(f"{w} long" for w in names) + ", n long")
+    edges = rows.mapInArrow(_count_grams(of_words, told, longest), ", ".join(f"{w} long" for w in names) + ", n long")
     return Graph(rows, words, totals, stored(edges.groupBy(*names).agg(F.sum("n").alias("n")), "grams"), longest, least)
 
 

@@ -116,6 +116,20 @@ def test_collocations_equal_their_sql(spark, docs, least, tmp_path):
     assert collocations.collocations(docs([(1, None), (2, "one")]), least=1).count() == 0
 
 
+def test_grams_go_through_frequent_runs_of_three_only(docs):
+    """All pairs of these words are frequent and nearly no run of three is; such words made a row each before."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(300))) for i in range(100)] + [(i, "p q r s t u") for i in range(100, 150)]
+    g = collocations.graph(docs(rows), least=10)
+    edges = [tuple(r)[:5] for r in g.edges.collect()]
+    counts = Counter(t[i : i + k] for _, text in rows for t in [tuple(text.split())] for k in (2, 3) for i in range(len(t) - k + 1))
+    frequent = {k: sum(len(x) == k and n >= 10 for x, n in counts.items()) for k in (2, 3)}
+    assert frequent[2] > 890 and frequent[3] < 50
+    assert len({e[:2] for e in edges}) == frequent[2] and len({e[:3] for e in edges if e[2] is not None}) == frequent[3]
+    assert len(edges) < 2 * frequent[2]
+
+
 def test_a_full_bitmap_loses_nothing(docs):
     rows = [(i, t) for i, t in enumerate(_phrase_texts(5))]
     key = ["lang", "rank"]
