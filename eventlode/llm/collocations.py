@@ -6,10 +6,14 @@ longest grams are counted in the corpus, one at every word, together with the sh
 off. The count of any shorter phrase is the flow through its node: the sum of all counted grams that begin with it,
 the cut ones included. Each level is summed from the one above it.
 
-A phrase can only be as frequent as its rarest word, pair or run of three words, so these are counted first, by hash, each among what the
+A phrase can only be as frequent as its rarest word, pair or run of three words, so these are counted first, each among what the
 ones before it leave. A piece also ends at a word, and a gram before the last word of a pair or run of three, that occurs less often than a candidate
 must. Which ones those are is told by bitmaps of fixed size whose errors only let more through, so no phrase is lost and what is broadcast does not
-grow with the data. As the least count is fixed, more of a larger corpus passes; no step makes more than one row for each word.
+grow with the data. As the least count is fixed, more of a larger corpus passes; no step makes more than one row for each word. Grams that are cut off
+after two words are not told by every task again: they are what the longer ones leave of the pairs' counts.
+
+Tasks combine what they count, share by share of the keys' range, and what leaves them is dealt out by key before Spark sums it up: summing it in
+the same task once more would only take memory.
 
 Unary paths, nodes whose whole flow comes over one edge and leaves over one edge, are compacted by pointer doubling into
 the longest phrases that always stand together.
@@ -40,8 +44,8 @@ LONGEST, MIN_COUNT, TOP = 5, 100, 2000
 BITMAP_BITS, BITMAP_KEYS = 1 << 25, 2
 #: Words of the longest runs that are counted by hash before grams are.
 TOLD = 3
-#: Rows held by a task before they are combined and leave it.
-HELD = 1 << 20
+#: Rows held by a task before they are combined and leave it, and how many of them are combined at once.
+HELD, SHARE = 1 << 20, 1 << 17
 #: Shares that a language's best rows are ranked in before the best of each are ranked together.
 SALTS = 64
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -102,22 +106,38 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes
                     yield lang, block
 
 
+def _combined(parts: list[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """Columns of parts whose first column is a sorted hash and whose last one is a count: a row for each hash, with the sum of its counts.
+
+    They come in shares of the hashes' range, of about SHARE rows each, so that no more than these are copied at once.
+    """
+    bits = (sum(len(p[0]) for p in parts) // SHARE).bit_length()
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+    bounds = [[0, *np.searchsorted(p[0], edges).tolist(), len(p[0])] for p in parts]
+    for share in range(1 << bits):
+        columns = [np.concatenate(c) for c in zip(*[[c[b[share] : b[share + 1]] for c in p] for p, b in zip(parts, bounds, strict=True)], strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        keys = columns[0][order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        if len(first):
+            n = np.add.reduceat(columns[-1][order], first, dtype=np.int64)
+            yield [keys[first], *[c[order[first]] for c in columns[1:-1]], n]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """h, lang, n of the words of texts, combined within the task."""
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def flush():
         for lang, parts in held.items():
-            keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
-            for at in range(0, len(keys), 1 << 17):
-                s = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[s].view(np.int64)), pa.array([lang] * len(n[s]), pa.string()), pa.array(n[s])], names=["h", "lang", "n"])
+            for keys, n in _combined(parts):
+                langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang], pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), langs, pa.array(n)], names=["h", "lang", "n"])
 
     size = 0
     for lang, block in _by_language(batches):
         keys, n = np.unique(_words(block, salt_of(lang))[2], return_counts=True)
-        held.setdefault(lang, []).append((keys, n))
+        held.setdefault(lang, []).append((keys, n.astype(np.int32)))
         size += len(keys)
         if size > 2 * HELD:
             yield from flush()
@@ -170,43 +190,48 @@ def bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> Bitmap:
     return Bitmap([(r["b"], bytes(r["own"])) for r in blocks.collect()], bits)
 
 
-def _kept_runs(h: np.ndarray, begins: np.ndarray, words: Bitmap, told: list[Bitmap]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For pairs of neighbours, runs of three words and so on: hashes, and which of them may be frequent.
+def _kept_runs(h: np.ndarray, begins: np.ndarray, words: Bitmap, told: list[Bitmap]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For pairs of neighbours, runs of three words and so on: the hash of the run without its last word, the key of the run, and whether it may be frequent.
 
+    A key is that hash times PRIME plus the last word; a run's hash is its mixed key.
     told: bitmaps of frequent pairs, runs of three and so on. The last entry is of runs one word longer than these tell of.
     """
     ok = words.has(h)
-    hashes = mixed(h[:-1] * PRIME + h[1:])
+    before, keys = h[:-1], h[:-1] * PRIME + h[1:]
     kept = ok[:-1] & ok[1:] & ~begins[1:]
-    found = [(hashes, kept)]
+    found = [(before, keys, kept)]
     for size, frequent in enumerate(told, 3):
+        hashes = mixed(keys)
         at = np.flatnonzero(kept)
         kept[at[~frequent.has(hashes[at])]] = False
-        hashes, kept = mixed(hashes[:-1] * PRIME + h[size - 1 :]), kept[:-1] & kept[1:]
-        found.append((hashes, kept))
+        before, kept = hashes[:-1], kept[:-1] & kept[1:]
+        keys = before * PRIME + h[size - 1 :]
+        found.append((before, keys, kept))
     return found
 
 
 def _count_runs(words, told: list):
-    """k, n: hashes of the runs that `told` leaves, which are one word longer than the longest of these, combined within the task."""
+    """p, w, n: the runs that `told` leaves, which are one word longer than the longest of these, combined within the task.
+
+    p is the hash of the run without its last word (of a pair: its first word), w that word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n for _, n in held])).astype(np.int64)
-            for at in range(0, len(keys), 1 << 17):
-                s = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[s].view(np.int64)), pa.array(n[s])], names=["k", "n"])
+            for keys, before, n in _combined(held):
+                yield pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), pa.array((keys - before * PRIME).view(np.int64)), pa.array(n)], names=["p", "w", "n"])
 
         for lang, block in _by_language(batches):
             _, _, h, begins = _words(block, salt_of(lang))
             if len(h) < 2:
                 continue
-            hashes, kept = _kept_runs(h, begins, words.value, [t.value for t in told])[-1]
-            held.append(np.unique(hashes[kept], return_counts=True))
-            size += len(held[-1][0])
+            before, keys, kept = _kept_runs(h, begins, words.value, [t.value for t in told])[-1]
+            at = np.flatnonzero(kept)
+            keys, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+            held.append((keys, before[at[first]], n.astype(np.int32)))
+            size += len(keys)
             if size > 2 * HELD:
                 yield from flush()
                 held, size = [], 0
@@ -216,13 +241,20 @@ def _count_runs(words, told: list):
     return run
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k: the hashes of runs, from their columns p and w."""
+    for batch in batches:
+        p, w = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(mixed(p * PRIME + w).view(np.int64))], names=["k"])
+
+
 def grams(h: np.ndarray, kept: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram that begins at each word whose pair with the next is kept, and its number of words.
+    """The gram that begins at each word whose run with the next two is kept, and its number of words.
 
     kept: for the place where each pair, each run of three words and so on begins, whether it may be frequent. A gram ends after `longest`
     words or where the longest of these runs that ends at the next word, within the gram, is not kept; words beyond its end are 0.
     """
-    at = np.flatnonzero(kept[0])
+    at = np.flatnonzero(kept[1])
     rows = np.zeros((len(at), longest), np.uint64)
     rows[:, 0] = h[at]
     n, on = np.ones(len(at), np.int64), np.ones(len(at), bool)
@@ -261,7 +293,7 @@ def _count_grams(words, told: list, longest: int):
             _, _, h, begins = _words(block, salt_of(lang))
             if len(h) < 2:
                 continue
-            kept = [k for _, k in _kept_runs(h, begins, words.value, [t.value for t in told])[: len(told)]]
+            kept = [k for *_, k in _kept_runs(h, begins, words.value, [t.value for t in told])[: len(told)]]
             rows, counts = grams(h, kept, longest)
             held.append(combined(rows, counts, np.ones(len(counts), np.int64)))
             size += len(held[-1][2])
@@ -330,22 +362,39 @@ class Graph:
         return edges.select("ws", "a").join(step.select("ws", "up"), "ws").join(path, "up").select("ws", "path", "a")
 
 
+def summed(found: DataFrame, *keys: str) -> DataFrame:
+    """Sums of n by keys, of rows that tasks have combined: they are dealt out first, as little is left to sum up before."""
+    return found.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def graph(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = MIN_COUNT, bits: int = BITMAP_BITS) -> Graph:
     """Counts words, then pairs of frequent words, then runs of three words of frequent pairs, then the grams that go through frequent ones only."""
     sc = df.sparkSession.sparkContext
     rows = df.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    found = rows.mapInArrow(_count_words, "h long, lang string, n long")
-    counted = stored(found.groupBy("h").agg(F.min("lang").alias("lang"), F.sum("n").alias("n")), "words")
+    counted = stored(summed(rows.mapInArrow(_count_words, "h long, lang string, n long"), "h", "lang"), "words")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     words = counted.filter(F.col("n") >= least)
     of_words = sc.broadcast(bitmap(words, "h", bits))
     told: list = []
-    for _ in range(2, min(longest, TOLD) + 1):
-        runs_of = rows.mapInArrow(_count_runs(of_words, [*told]), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        told.append(sc.broadcast(bitmap(runs_of, "k", bits)))
+
+    def frequent() -> DataFrame:
+        return summed(rows.mapInArrow(_count_runs(of_words, [*told]), "p long, w long, n long"), "p", "w").filter(F.col("n") >= least)
+
+    def tell(runs_of: DataFrame) -> None:
+        told.append(sc.broadcast(bitmap(runs_of.mapInArrow(_hashed, "k long"), "k", bits)))
+
     names = _names(longest)
+    pairs = stored(frequent(), "pairs").select(F.col("p").alias("w1"), F.col("w").alias("w2"), "n")
+    if longest == 2:
+        return Graph(rows, words, totals, pairs, longest, least)
+    tell(pairs)
+    for _ in range(3, TOLD + 1):
+        tell(frequent())
     edges = rows.mapInArrow(_count_grams(of_words, told, longest), ", ".join(f"{w} long" for w in names) + ", n long")
-    return Graph(rows, words, totals, stored(edges.groupBy(*names).agg(F.sum("n").alias("n")), "grams"), longest, least)
+    longer = stored(summed(edges, *names), "grams")
+    left = pairs.unionByName(longer.select("w1", "w2", (-F.col("n")).alias("n"))).groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+    cut = stored(left.select("w1", "w2", *[F.lit(None).cast("long").alias(w) for w in names[2:]], "n"), "pairs")
+    return Graph(rows, words, totals, longer.unionByName(cut), longest, least)
 
 
 def score_of(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventlode.llm import align, collocations, langid, pii
@@ -130,6 +132,34 @@ def test_grams_go_through_frequent_runs_of_three_only(docs):
     assert len(edges) < 2 * frequent[2]
 
 
+class _Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_tasks_hold_little_besides_what_they_count():
+    """1.5 million different pairs: all that a task held was copied several times at once before, to 3000 MB of an executor."""
+    every = _Shared(collocations.Bitmap([(0, b"\xff")], 8))
+    rng = np.random.default_rng(1)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 20, 10_000).tolist())) for _ in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * len(texts))], names=["text", "lang"])
+    tracemalloc.start()
+    n = sum(sum(out.column(out.num_columns - 1).to_pylist()) for out in collocations._count_runs(every, [])(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert n == 150 * 9_999
+    assert most < 110
+
+
+def test_pairs_are_not_told_again_as_grams():
+    """A gram of two words was a row of every task that had its pair."""
+    h = np.arange(1, 9, dtype=np.uint64)
+    pairs, threes = np.ones(7, bool), np.zeros(6, bool)
+    threes[2:4] = True
+    rows, n = collocations.grams(h, [pairs, threes], 5)
+    assert rows.tolist() == [[3, 4, 5, 6, 0], [4, 5, 6, 0, 0]] and n.tolist() == [4, 3]
+
+
 def test_a_full_bitmap_loses_nothing(docs):
     rows = [(i, t) for i, t in enumerate(_phrase_texts(5))]
     key = ["lang", "rank"]
