@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlode.llm.common import sliced, stored
+from eventlode.llm.common import sliced, small_batches, stored
 from eventlode.llm.hashing import LOWER, STEP, mixed, runs
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
@@ -335,7 +335,7 @@ class Graph:
         """h, word of all words of a column `ws`."""
         wanted = ws.select(F.explode("ws").alias("h")).distinct()
         shared = self.rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "h", bits))
-        return self.rows.mapInArrow(_tell_words(shared), "h long, word string").groupBy("h").agg(F.min("word").alias("word"))
+        return stored(self.rows.mapInArrow(_tell_words(shared), "h long, word string").groupBy("h").agg(F.min("word").alias("word")), "texts")
 
     def paths(self, phrases: DataFrame) -> DataFrame:
         """ws, path (words' hashes of the whole path), a: for every frequent edge, the unary path it lies on.
@@ -371,9 +371,11 @@ def graph(df: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     """Counts words, then pairs of frequent words, then runs of three words of frequent pairs, then the grams that go through frequent ones only."""
     sc = df.sparkSession.sparkContext
     rows = df.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    counted = stored(summed(rows.mapInArrow(_count_words, "h long, lang string, n long"), "h", "lang"), "words")
+    every = summed(rows.mapInArrow(_count_words, "h long, lang string, n long"), "h", "lang")
+    # of words that are too rare, only how many there are of a language is kept
+    counted = stored(every.groupBy(F.when(F.col("n") >= least, F.col("h")).alias("h"), "lang").agg(F.sum("n").alias("n")), "words")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = counted.filter(F.col("n") >= least)
+    words = counted.filter(F.col("h").isNotNull())
     of_words = sc.broadcast(bitmap(words, "h", bits))
     told: list = []
 
@@ -440,10 +442,12 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", longest:
     """lang, rank, phrase, a, l, r, n, score of each language's first `top` phrases, and path_words: how many
     words stand together as often as the phrase's first longest gram does (the length of its unary path; null for shorter phrases).
     """
-    g = graph(df, text, lang, longest, least, bits)
+    with small_batches(df.sparkSession):
+        g = graph(df, text, lang, longest, least, bits)
     phrases = g.phrases()
     candidates = stored(unsubsumed(phrases, scored(g, phrases), percent), "collocations")
-    rows = spelled(g, _first(candidates, top), "phrase", bits)
+    with small_batches(df.sparkSession):
+        rows = spelled(g, _first(candidates, top), "phrase", bits)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     some = rows.withColumn("_s", F.pmod(F.xxhash64("ws"), F.lit(SALTS))).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_s").orderBy(*order))).filter(F.col("_r") <= top)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,18 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, p
     return both.select(*on, *others, *[F.when(F.col("_is_hot"), F.col(f"_h_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, records: int = 1000) -> Iterator[None]:
+    """Steps that run within get Arrow batches of at most so many rows: a batch of whole texts is held by Spark and by Python, several times while it grows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), records) if int(before) > 0 else records))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 

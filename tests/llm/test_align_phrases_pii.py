@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from eventlode.llm import align, collocations, langid, pii
+from eventlode.llm import align, collocations, common, langid, pii
 from eventlode.llm.registry import tokenizer_path
 from tests.oracle_check import assert_same, connected
 
@@ -151,6 +151,16 @@ def test_tasks_hold_little_besides_what_they_count():
     assert most < 110
 
 
+def test_batches_of_texts_are_small_within_a_count_only(spark):
+    """A batch had 10,000 texts, however long."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    most = lambda: spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+    before = most()
+    with common.small_batches(spark):
+        assert most() <= 1000
+    assert most() == before == 3000
+
+
 def test_pairs_are_not_told_again_as_grams():
     """A gram of two words was a row of every task that had its pair."""
     h = np.arange(1, 9, dtype=np.uint64)
